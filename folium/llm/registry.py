@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folium.llm import byte_bpe, fingerprints, licenses, sharding, token_counts
+from folium.llm import byte_bpe, fingerprints, licenses, sharding, substring_dedup, suffix_dedup, token_counts
 from folium.session import table
 
 
@@ -27,12 +28,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_sha256"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op5_byte_bpe, op7_sharding, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op5_byte_bpe, op7_sharding, op8_substring_dedup, op9_suffix_dedup, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
