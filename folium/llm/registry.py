@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import byte_bpe, fingerprints, licenses, sharding, substring_dedup, suffix_dedup, token_counts
+from folium.llm import byte_bpe, dart_minhash, fingerprints, licenses, sharding, substring_dedup, suffix_dedup, token_counts
 from folium.session import table
 
 
@@ -24,6 +24,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 24)
 
@@ -43,7 +47,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op5_byte_bpe, op7_sharding, op8_substring_dedup, op9_suffix_dedup, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op5_byte_bpe, op6_near_dedup, op7_sharding, op8_substring_dedup, op9_suffix_dedup, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
