@@ -18,7 +18,6 @@ import base64
 import hashlib
 import heapq
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from folium.llm.arrow import mapped
 
 LONG = 96
-TABLE_PIECES = 300_000
+TABLE_PIECES = 400_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -82,7 +81,7 @@ class Encoder:
         self.token = [b""] * (max(ranks.values()) + 1)
         for t, r in ranks.items():
             self.token[r] = t
-        self.table: dict[str, list[int]] = {}
+        self.table: dict[str, str] = {}
         self.table_pieces = table_pieces
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
@@ -155,15 +154,26 @@ class Encoder:
         return [x for x in ids if x >= 0]
 
     def learn(self, pieces: set[str]) -> None:
+        """Adds pieces to the table, whose values are token numbers as decimals with commas."""
         if len(self.table) + len(pieces) > self.table_pieces:
             self.table.clear()
-        new = [p for p in pieces if p not in self.table]
-        self.table.update(zip(new, self.encode_pieces([p.encode() for p in new])))
+        new = list(pieces)
+        self.table.update(zip(new, (",".join(map(str, ids)) for ids in self.encode_pieces([p.encode() for p in new]))))
+
+    def encode_batch(self, texts: list[str]) -> list[str]:
+        """Token numbers of every text, as decimals with commas; a piece is looked up once."""
+        found = [self.pattern.findall(t) for t in texts]
+        shown = [list(map(self.table.get, got)) for got in found]
+        missing = {p for got, ids in zip(found, shown) if None in ids for p, x in zip(got, ids) if x is None}
+        if missing:
+            self.learn(missing)
+            for i, ids in enumerate(shown):
+                if None in ids:
+                    shown[i] = [x or self.table[p] for p, x in zip(found[i], ids)]
+        return [",".join(ids) for ids in shown]
 
     def encode(self, text: str) -> list[int]:
-        got = self.pattern.findall(text)
-        self.learn(set(got) - self.table.keys())
-        return list(chain.from_iterable(map(self.table.__getitem__, got)))
+        return numbers(self.encode_batch([text])[0]).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
@@ -179,16 +189,14 @@ def load(path: str, pattern: str) -> Encoder:
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, same boolean"
 
 
-def _tokens(batch: pa.RecordBatch, path: str, pattern: str) -> list[tuple[str, list[int], bytes]]:
+def numbers(shown: str) -> np.ndarray:
+    return np.fromstring(shown, np.int32, sep=",") if shown else np.empty(0, np.int32)
+
+
+def _encoded(batch: pa.RecordBatch, path: str, pattern: str) -> tuple[Encoder, list[str], list[str]]:
     encoder = load(path, pattern)
     texts = [t or "" for t in batch.column("text").to_pylist()]
-    found = [encoder.pattern.findall(t) for t in texts]
-    encoder.learn(set(chain.from_iterable(found)) - encoder.table.keys())
-    out = []
-    for text, got in zip(texts, found):
-        ids = list(chain.from_iterable(map(encoder.table.__getitem__, got)))
-        out.append((text, ids, encoder.decode(ids)))
-    return out
+    return encoder, texts, encoder.encode_batch(texts)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +204,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def work(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "ids": [ids for _, ids, _ in _tokens(batch, path, pattern)]}
+        return {"doc_id": batch.column(0), "ids": [numbers(x) for x in _encoded(batch, path, pattern)[2]]}
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(mapped(work, schema), "doc_id long, ids array<int>")
 
@@ -206,13 +214,15 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("same", pa.bool_())])
 
     def work(batch: pa.RecordBatch) -> dict:
-        rows = _tokens(batch, path, pattern)
-        return {
-            "doc_id": batch.column(0),
-            "n_tokens": [len(ids) for _, ids, _ in rows],
-            "ids_sha256": [hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() for _, ids, _ in rows],
-            "decoded_sha256": [hashlib.sha256(raw).hexdigest() for _, _, raw in rows],
-            "same": [raw == text.encode() for text, _, raw in rows],
-        }
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "same": []}
+        encoder, texts, shown = _encoded(batch, path, pattern)
+        for text, ids in zip(texts, shown):
+            held = numbers(ids).tolist()
+            raw = encoder.decode(held)
+            out["n_tokens"].append(len(held))
+            out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(raw).hexdigest())
+            out["same"].append(raw == text.encode())
+        return {"doc_id": batch.column(0)} | out
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(mapped(work, schema), SCHEMA)
