@@ -15,6 +15,7 @@ columns are ignored.
 from __future__ import annotations
 
 import itertools
+import os
 import unicodedata
 from functools import lru_cache
 
@@ -36,6 +37,7 @@ END = "</w>"
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     found = Tokenizer.from_file(path)
     found.no_truncation()
     found.no_padding()
@@ -70,15 +72,18 @@ class Counter:
     def learn(self, words: set[str]) -> None:
         if len(self.table) + len(words) > self.table_words:
             self.table.clear()
-        new = [w for w in words if w not in self.table]
+        new = list(words)
         for w, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False)):
-            self.table[w] = len(e.ids)
+            self.table[w] = len(e)
 
     def prefix_counts(self, words: list[str]) -> np.ndarray:
-        """Token counts up to each word's end, 0 first."""
-        self.learn(set(words) - self.table.keys())
+        """Token counts up to each word's end, 0 first; a word is looked up once."""
+        counts = list(map(self.table.get, words))
+        if None in counts:
+            self.learn({w for w, n in zip(words, counts) if n is None})
+            counts = [self.table[w] if n is None else n for w, n in zip(words, counts)]
         out = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(np.fromiter(map(self.table.__getitem__, words), np.int64, len(words)), out=out[1:])
+        np.cumsum(counts, out=out[1:])
         return out
 
     # inside a word
