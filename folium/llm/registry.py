@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import byte_bpe, dart_minhash, fingerprints, licenses, sharding, substring_dedup, suffix_dedup, token_counts
+from folium.llm import byte_bpe, dart_minhash, decontamination, fingerprints, licenses, quality, sharding, substring_dedup, suffix_dedup, token_counts
 from folium.session import table
 
 
@@ -20,6 +20,15 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -47,7 +56,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op5_byte_bpe, op6_near_dedup, op7_sharding, op8_substring_dedup, op9_suffix_dedup, op10_fingerprints)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_quality, op4_decontamination, op5_byte_bpe, op6_near_dedup, op7_sharding, op8_substring_dedup, op9_suffix_dedup, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
