@@ -11,8 +11,8 @@ Bands of `ROWS` coordinates give keys; documents with a key in common are candid
 start. Within a key's bucket not all pairs are made: a pivot is compared with the others, exactly, by their weighted sets.
 Jaccard distance is a metric, so with links up to distance 1 - T the bucket then falls into two that need no comparison
 with each other but for the rows in both: those nearer to the pivot than 2 (1 - T), and those farther than 1 - T. The
-pivot leaves; a bucket whose rows are already in one class is finished. Rounds go on, with more pivots each, until none
-is left, so every pair of candidates is either compared, connected, or ruled out by distance.
+pivot leaves; a bucket whose rows are already in one class is finished. Further rounds take four times as many pivots each, until
+none is left, so every pair of candidates is either compared, connected, or ruled out by distance or by weight.
 
 Defined cases: null text: a class of its own; equal texts are one class, also without words; fewer than SHINGLE words: one
 run of all of them; repeated rows are in one class; rows that share a doc_id but not the text are compared by one of their
@@ -145,45 +145,60 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "ca", "cb", (same / (F.size("x") + F.size("y") - same)).alias("j"))
 
 
+def _unsettled(rows: DataFrame) -> DataFrame:
+    """Of rows (key, id, n, comp) those of buckets with rows of different classes; of buckets with the same rows one."""
+    buckets = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("mix")).where("lo <> hi")
+    return rows.join(buckets.groupBy("size", "mix").agg(F.min("key").alias("key")).select("key"), "key").select("key", "id", "n", "comp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and copy_of (the least doc_id with the same text), for every row."""
     signed = cut(signatures(docs, id_col, text_col, shingle, bands, rows))
     texts = signed.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     spread = texts.select("id", "n", F.explode("keys").alias("key"))
-    crowded = spread.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("key")
-    rows_in = cut(spread.join(crowded, "key").select("key", "id", "n", F.col("id").alias("comp")))
+    rows_in = cut(_unsettled(spread.select("key", "id", "n", F.col("id").alias("comp"))))
     classes = cut(rows_in.select("id").distinct().withColumn("comp", F.col("id")))
     sets = cut(_sets(docs, classes.select("id"), id_col, text_col, shingle))
     loose = 1 - 2 * (1 - threshold)
     turn = 0
     while not rows_in.isEmpty():
-        slots = 1 << max(0, turn - 2)
-        head = F.min(F.struct("id", "n", "comp"))
-        pivots = rows_in.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(slots)).alias("slot")).agg(head.alias("p"))
-        lead = pivots.groupBy("key").agg(F.min("p").alias("q"))
-        ratio = lambda p: F.least("n", f"{p}.n") / F.greatest("n", f"{p}.n")
-        tests = rows_in.join(pivots, "key").where((F.col("id") != F.col("p.id")) & (F.col("comp") != F.col("p.comp")) & (ratio("p") >= threshold))
+        least = F.min(F.struct("id", "n", "comp")).alias("p")
+        pivots = rows_in.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(4**turn)).alias("slot")).agg(least).drop("slot")
+        faced = rows_in.join(pivots, "key").where(F.col("id") != F.col("p.id"))
+        ratio = F.least("n", "p.n") / F.greatest("n", "p.n")  # the similarity is no greater
         first = F.col("id") < F.col("p.id")
-        pairs = tests.select(
+        pairs = faced.where((F.col("comp") != F.col("p.comp")) & (ratio >= (loose if turn == 0 else threshold))).select(
             F.least("id", "p.id").alias("a"),
             F.greatest("id", "p.id").alias("b"),
             F.when(first, F.col("comp")).otherwise(F.col("p.comp")).alias("ca"),
             F.when(first, F.col("p.comp")).otherwise(F.col("comp")).alias("cb"),
-        ).distinct()
-        measured = cut(_measured(pairs, sets))
-        moved = connected_components(measured.where(F.col("j") >= threshold), "ca", "cb").withColumnsRenamed({"node": "comp", "root": "to"})
-        classes = cut(classes.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
-
-        known = measured.select("a", "b", "j")
-        left = rows_in.join(lead, "key").join(pivots.select("key", F.col("p.id").alias("id")), ["key", "id"], "left_anti")
-        left = left.withColumn("a", F.least("id", "q.id")).withColumn("b", F.greatest("id", "q.id")).join(known, ["a", "b"], "left")
-        close = (F.col("j").isNull() | (F.col("j") >= loose)) & (ratio("q") >= loose)
-        apart = F.col("j").isNull() | (F.col("j") < threshold)
-        sides = F.array_compact(F.array(F.when(close, F.lit(0)), F.when(apart, F.lit(1))))
-        left = left.select("key", "id", "n", "comp", F.explode(sides).alias("side")).select(F.xxhash64("key", "side").alias("key"), "id", "n", "comp")
-        left = left.join(moved, "comp", "left").select("key", "id", "n", F.coalesce("to", "comp").alias("comp"))
-        alive = left.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        rows_in = cut(left.join(alive, "key"))
+        )
+        measured = cut(_measured(pairs.distinct(), sets))
+        if turn == 0:  # one pivot in each bucket, all others measured against it
+            known = measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "j")  # a pivot is the least of its bucket
+            left = faced.withColumn("pivot", F.col("p.id")).join(known, ["pivot", "id"], "left")
+            sides = F.array_compact(F.array(F.when(F.col("j") >= loose, F.lit(0)), F.when(F.coalesce(F.col("j"), F.lit(0.0)) < threshold, F.lit(1))))
+            left = left.select(F.col("key").alias("whole"), "id", "n", "comp", F.explode(sides).alias("side")).select(F.xxhash64("whole", "side").alias("key"), "id", "n", "comp")
+        else:
+            left = rows_in.join(pivots.select("key", F.col("p.id").alias("id")), ["key", "id"], "left_anti")
+        links = measured.where(F.col("j") >= threshold)
+        if not links.isEmpty():
+            moved = connected_components(links, "ca", "cb").withColumnsRenamed({"node": "comp", "root": "to"})
+            classes = cut(classes.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
+            left = left.join(moved, "comp", "left").select("key", "id", "n", F.coalesce("to", "comp").alias("comp"))
+        rows_in = cut(_unsettled(left))
         turn += 1
     named = signed.select("doc_id", "text_key").join(texts.select("text_key", "id"), "text_key")
     return named.join(classes, "id", "left").select("doc_id", F.coalesce("comp", "id").alias("class_id"), F.col("id").alias("copy_of"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, of the least doc_id of every class; of repeated rows one."""
+    found = cut(near_duplicates(docs, id_col, text_col))
+    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    if found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
+        return kept
+    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
