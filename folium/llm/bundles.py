@@ -26,8 +26,8 @@ SEND_ARROW = pa.schema([("part", pa.int64()), ("bundle", pa.int64()), ("payload"
 ANSWER_ARROW = pa.schema([("bundle", pa.int64()), ("payload", pa.binary())])
 
 
-def bundled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(bundle, doc_id, text) dealt by bundle, and the number of parts."""
+def bundled(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, int]:
+    """(bundle, doc_id, text) dealt by bundle, and the number of parts. carry: with `rest`, all columns of a row but its text."""
     n = parallelism(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bundles, parts = max(4 * n, total // BUNDLE_BYTES), max(n, total // PART_BYTES)
@@ -35,14 +35,21 @@ def bundled(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(bundles)).alias("bundle"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
+        *([F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")] if carry else []),
     )
     return out.repartition(n, "bundle"), parts
 
 
+def in_order(table: pa.Table) -> list[int]:
+    """The rows of a bundle by id, then text."""
+    ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
+    return sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
+
+
 def rows(table: pa.Table) -> tuple[list[int], list[bytes]]:
     """Ids and texts of a bundle, by id."""
     ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-    order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
+    order = in_order(table)
     return [ids[i] for i in order], [texts[i] for i in order]
 
 

@@ -200,13 +200,15 @@ def _encoded(batch: pa.RecordBatch, path: str, pattern: str) -> tuple[Encoder, l
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids: the token numbers of every whole text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
+    """doc_id, n_tokens, ids (the token numbers of every whole text) and the SHA-256 of the bytes that they decode to."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())])
 
     def work(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(0), "ids": [numbers(x) for x in _encoded(batch, path, pattern)[2]]}
+        encoder, _, shown = _encoded(batch, path, pattern)
+        ids = [numbers(x) for x in shown]
+        return {"doc_id": batch.column(0), "n_tokens": [len(x) for x in ids], "ids": ids, "decoded_sha256": [hashlib.sha256(encoder.decode(x.tolist())).hexdigest() for x in ids]}
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(mapped(work, schema), "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(mapped(work, schema), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,6 +25,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from folium.llm import bundles as B
 from folium.llm import hashing as H
@@ -200,18 +201,26 @@ def _repeated(table: pa.Table) -> pa.Table:
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
-def _remove(digest: bool):
+def _whole_characters(gone: np.ndarray, raw: bytes) -> np.ndarray:
+    """A character of UTF-8 goes only if all its bytes do."""
+    begin = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
+    return np.repeat(np.logical_and.reduceat(gone, begin), np.diff(np.r_[begin, len(raw)])) if len(begin) else gone
+
+
+def _remove(digest: bool, whole: bool = False, rest: pa.DataType | None = None):
+    schema = OUT if rest is None else OUT.append(pa.field("rest", rest))
+
     def work(table: pa.Table, told: pa.Table) -> pa.Table:
         out: dict[str, list] = {f.name: [] for f in OUT}
         if not len(table):
-            return pa.Table.from_pydict(out, schema=OUT)
+            return schema.empty_table()
         bits: dict[int, bytes] = {}
         for p in B.payloads(told):
             n = int.from_bytes(p[:8], "little")
             keys = np.frombuffer(p, "<u8", n, 8).tolist()
-            rest, width = p[8 + 8 * n :], (len(p) - 8 - 8 * n) // n
+            flags, width = p[8 + 8 * n :], (len(p) - 8 - 8 * n) // n
             for i, c in enumerate(keys):
-                bits[c] = rest[i * width : (i + 1) * width]
+                bits[c] = flags[i * width : (i + 1) * width]
         known = np.sort(np.array(list(bits), np.uint64))
         for ids, texts in B.sliced(*B.rows(table)):
             total = sum(map(len, texts))
@@ -231,6 +240,8 @@ def _remove(digest: bool):
             for i, text in enumerate(texts):
                 cut = gone[at : at + len(text)]
                 at += len(text)
+                if whole and cut.any():
+                    cut = _whole_characters(cut, text)
                 kept = text
                 if cut.any():
                     kept = np.frombuffer(text, np.uint8)[~cut].tobytes()
@@ -239,15 +250,35 @@ def _remove(digest: bool):
                 out["n_removed"].append(len(text) - len(kept))
                 out["n_spans"].append(int(np.count_nonzero(np.diff(cut.view(np.int8), prepend=np.int8(0)) == 1)))
                 out["kept"].append(hashlib.sha256(kept).hexdigest().encode() if digest else kept)
-        return pa.Table.from_pydict(out, schema=OUT)
+        if rest is not None:
+            out["rest"] = table.column("rest").take(pa.array(B.in_order(table))).combine_chunks()
+        return pa.Table.from_pydict(out, schema=schema)
 
     return work
 
 
+def _answers(texts: DataFrame, parts: int) -> DataFrame:
+    """Steps 1 to 3: for every bundle its pieces with repeated windows."""
+    shared = B.shared_keys(texts.groupBy("bundle").applyInArrow(_send_minimizers(parts), B.SEND))
+    sent = texts.groupBy("bundle").cogroup(shared.groupBy("bundle")).applyInArrow(_send_pieces(parts), B.SEND)
+    return sent.groupBy("part").applyInArrow(_repeated, B.ANSWER)
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes, or the hex SHA-256 of these as bytes."""
     texts, parts = B.bundled(docs, id_col, text_col)
-    shared = B.shared_keys(texts.groupBy("bundle").applyInArrow(_send_minimizers(parts), B.SEND))
-    sent = texts.groupBy("bundle").cogroup(shared.groupBy("bundle")).applyInArrow(_send_pieces(parts), B.SEND)
-    told = sent.groupBy("part").applyInArrow(_repeated, B.ANSWER)
+    told = _answers(texts, parts)
     return texts.groupBy("bundle").cogroup(told.groupBy("bundle")).applyInArrow(_remove(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def clean_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, without repeated stretches of their texts; a character goes only with all its bytes."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    texts, parts = B.bundled(docs, id_col, text_col, carry=True)
+    told = _answers(texts.drop("rest"), parts)
+    rest = to_arrow_schema(texts.select("rest").schema).field("rest").type
+    out = texts.groupBy("bundle").cogroup(told.groupBy("bundle")).applyInArrow(
+        _remove(False, True, rest), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, rest {texts.schema['rest'].dataType.simpleString()}"
+    )
+    return out.select(*[F.col("kept").cast("string").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in docs.columns])
