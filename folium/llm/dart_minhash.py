@@ -7,12 +7,14 @@ K (ln K + 4) of them, each dart belongs to one of K coordinates by its hash, and
 is kept. Two documents agree in a coordinate with a probability equal to their weighted Jaccard similarity. The work is in
 proportion to elements + K ln K, not their product.
 
-Bands of `ROWS` coordinates give keys; documents with a key in common are candidates. Equal texts are one node from the
-start. Within a key's bucket not all pairs are made: a pivot is compared with the others, exactly, by their weighted sets.
+Bands of `DEEP` coordinates give keys; documents with a key in common are candidates. Equal texts are one node from the
+start. Within a key's bucket not all pairs are made: a pivot, the row that meets most others in all its buckets, is compared
+with the others, exactly, by their weighted sets.
 Jaccard distance is a metric, so with links up to distance 1 - T the bucket then falls into two that need no comparison
 with each other but for the rows in both: those nearer to the pivot than 2 (1 - T), and those farther than 1 - T. The
-pivot leaves; a bucket whose rows are already in one class is finished. Further rounds take four times as many pivots each, until
-none is left, so every pair of candidates is either compared, connected, or ruled out by distance or by weight.
+pivot leaves; a bucket whose rows are already in one class is finished. Further rounds take sixteen times as many pivots each, from
+the rows outside the bucket's largest class, until none is left. Between rounds the weight is found that a row shares with no other row still in a bucket; it bounds what the
+row's similarity to any of them can be. So every pair of candidates is compared, connected, or ruled out by distance or weight.
 
 Defined cases: null text: a class of its own; equal texts are one class, also without words; fewer than SHINGLE words: one
 run of all of them; repeated rows are in one class; rows that share a doc_id but not the text are compared by one of their
@@ -26,17 +28,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm import hashing as H
 from folium.llm.arrow import mapped
 from folium.operators.graph import connected_components
-from folium.session import cut
+from folium.session import cut, forget
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 24, 5
+BANDS, DEEP = 24, 5
 #: Rows of ids that may be broadcast, 8 bytes each.
 BROADCAST_IDS = 1_000_000
 STEP = H.U(0xD1B54A32D192ED03)
@@ -145,49 +147,83 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "ca", "cb", (same / (F.size("x") + F.size("y") - same)).alias("j"))
 
 
+ROW = ["key", "id", "n", "match", "central", "comp"]
+
+
 def _unsettled(rows: DataFrame) -> DataFrame:
-    """Of rows (key, id, n, comp) those of buckets with rows of different classes; of buckets with the same rows one."""
+    """The rows of buckets with rows of different classes, with `size`; of buckets with the same rows one."""
     buckets = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("mix")).where("lo <> hi")
-    return rows.join(buckets.groupBy("size", "mix").agg(F.min("key").alias("key")).select("key"), "key").select("key", "id", "n", "comp")
+    return rows.join(buckets.groupBy("size", "mix").agg(F.min("key").alias("key")).select("key", "size"), "key")
+
+
+def _most(n: Column, match: Column, p: str) -> Column:
+    """The greatest similarity that sizes and matchable weights allow."""
+    both = F.least(match, F.col(f"{p}.match"))
+    return both / (n + F.col(f"{p}.n") - both)
+
+
+def _odd(rows: DataFrame) -> DataFrame:
+    """The rows that are not of their bucket's largest class: once these have been pivots, the bucket is settled."""
+    counts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"))
+    return rows.join(counts, "key").where(F.col("comp") != F.col("most.comp")).select(*ROW)
+
+
+def _matchable(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """rows with `match`, the weight that occurs in another document still in a bucket; rows that can link to none are left out."""
+    cells = sets.join(rows.select("id").distinct(), "id").select("id", F.explode("cells").alias("cell"))
+    alone = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    rows = rows.join(alone, "id", "left").withColumn("match", F.least("match", F.col("n") - F.coalesce("alone", F.lit(0))))
+    return rows.where(F.col("match") >= threshold * F.col("n")).select(*ROW)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = DEEP) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and copy_of (the least doc_id with the same text), for every row."""
     signed = cut(signatures(docs, id_col, text_col, shingle, bands, rows))
     texts = signed.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    spread = texts.select("id", "n", F.explode("keys").alias("key"))
-    rows_in = cut(_unsettled(spread.select("key", "id", "n", F.col("id").alias("comp"))))
+    spread = texts.select(F.explode("keys").alias("key"), "id", F.col("n").cast("long").alias("n"), F.col("id").alias("comp"))
+    crowded = _unsettled(spread)
+    central = crowded.groupBy("id").agg(F.sum("size").alias("central"))  # how many rows a row meets in its buckets
+    rows_in = cut(crowded.join(central, "id").withColumn("match", F.col("n")).select(*ROW))
     classes = cut(rows_in.select("id").distinct().withColumn("comp", F.col("id")))
     sets = cut(_sets(docs, classes.select("id"), id_col, text_col, shingle))
     loose = 1 - 2 * (1 - threshold)
     turn = 0
     while not rows_in.isEmpty():
-        least = F.min(F.struct("id", "n", "comp")).alias("p")
-        pivots = rows_in.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(4**turn)).alias("slot")).agg(least).drop("slot")
-        faced = rows_in.join(pivots, "key").where(F.col("id") != F.col("p.id"))
-        ratio = F.least("n", "p.n") / F.greatest("n", "p.n")  # the similarity is no greater
+        head = F.min(F.struct((-F.col("central")).alias("order"), "id", "n", "match", "comp")).alias("p")
+        pivots = _odd(rows_in) if turn else rows_in
+        pivots = pivots.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(16**turn)).alias("slot")).agg(head).select(F.col("key").alias("k"), "p")
+        least = loose if turn == 0 else threshold
+        faced = rows_in.join(pivots, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("p.comp")) & (_most(F.col("n"), F.col("match"), "p") >= least))
         first = F.col("id") < F.col("p.id")
-        pairs = faced.where((F.col("comp") != F.col("p.comp")) & (ratio >= (loose if turn == 0 else threshold))).select(
+        pairs = faced.select(
             F.least("id", "p.id").alias("a"),
             F.greatest("id", "p.id").alias("b"),
             F.when(first, F.col("comp")).otherwise(F.col("p.comp")).alias("ca"),
             F.when(first, F.col("p.comp")).otherwise(F.col("comp")).alias("cb"),
         )
         measured = cut(_measured(pairs.distinct(), sets))
-        if turn == 0:  # one pivot in each bucket, all others measured against it
-            known = measured.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "j")  # a pivot is the least of its bucket
-            left = faced.withColumn("pivot", F.col("p.id")).join(known, ["pivot", "id"], "left")
+        if turn == 0:  # one pivot in each bucket; a row that was not measured against it is far
+            known = measured.select("a", "b", "j")
+            left = rows_in.join(pivots.select(F.col("k").alias("key"), F.col("p.id").alias("pivot")), "key").where(F.col("id") != F.col("pivot"))
+            left = left.withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot")).join(known, ["a", "b"], "left")
             sides = F.array_compact(F.array(F.when(F.col("j") >= loose, F.lit(0)), F.when(F.coalesce(F.col("j"), F.lit(0.0)) < threshold, F.lit(1))))
-            left = left.select(F.col("key").alias("whole"), "id", "n", "comp", F.explode(sides).alias("side")).select(F.xxhash64("whole", "side").alias("key"), "id", "n", "comp")
+            left = left.withColumn("side", F.explode(sides)).withColumn("key", F.xxhash64("key", "side")).select(*ROW)
         else:
-            left = rows_in.join(pivots.select("key", F.col("p.id").alias("id")), ["key", "id"], "left_anti")
+            left = rows_in.join(pivots.select(F.col("k").alias("key"), F.col("p.id").alias("id")), ["key", "id"], "left_anti")
         links = measured.where(F.col("j") >= threshold)
         if not links.isEmpty():
             moved = connected_components(links, "ca", "cb").withColumnsRenamed({"node": "comp", "root": "to"})
-            classes = cut(classes.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
-            left = left.join(moved, "comp", "left").select("key", "id", "n", F.coalesce("to", "comp").alias("comp"))
-        rows_in = cut(_unsettled(left))
+            was, classes = classes, cut(classes.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
+            forget(was)
+            left = left.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).select(*ROW)
+        left = cut(_unsettled(left).select(*ROW))
+        forget(rows_in, measured)
+        rows_in = left
+        if not left.isEmpty():
+            rows_in = cut(_unsettled(_matchable(left, sets, threshold)).select(*ROW))
+            forget(left)
         turn += 1
+    forget(rows_in, sets)
     named = signed.select("doc_id", "text_key").join(texts.select("text_key", "id"), "text_key")
     return named.join(classes, "id", "left").select("doc_id", F.coalesce("comp", "id").alias("class_id"), F.col("id").alias("copy_of"))
 
