@@ -118,7 +118,9 @@ class Attention:
 
     def fit(self, texts: list[bytes], y: np.ndarray, share: float = 0.5, seed: int = 11) -> Attention:
         """share: of label 1 among all labelled rows; rows are weighted so that scores are chances under it."""
-        x, starts = passages(texts)
+        parts = [passages(texts[i : i + 100]) for i in range(0, len(texts), 100)]  # bounded, as features of raw bytes are many times their size
+        x = np.concatenate([p for p, _ in parts])
+        starts = np.r_[0, np.cumsum(np.concatenate([np.diff(s) for _, s in parts]))]
         self.mean = x[:, :-1].mean(0)
         self.scale = (1 / (x[:, :-1].std(0) + 0.02)).astype(np.float32)
         weight = np.where(y == 1, share / max(1, y.sum()), (1 - share) / max(1, (1 - y).sum()))
