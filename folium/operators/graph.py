@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.session import cut
+from folium.session import cut, forget
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -23,6 +23,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         step = labels.join(near, labels.node == near.a).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
         of = step.select(F.col("node").alias("r_node"), F.col("root").alias("r_root"))
         found = cut(step.join(of, step.root == of.r_node).select("node", F.col("r_root").alias("root"), (F.col("r_root") != F.col("was")).alias("moved")))
-        labels = found.select("node", "root")
+        forget(labels)
         if found.where("moved").isEmpty():
-            return labels
+            forget(both)
+            return found.select("node", "root")
+        labels = found
