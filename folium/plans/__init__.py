@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folium.plans import ranges, scalars
+from folium.plans import documents, ranges, scalars
 
-CATALOGUES = [ranges.catalogue, scalars.catalogue]
+CATALOGUES = [ranges.catalogue, scalars.catalogue, documents.catalogue]
 
 
 def queries() -> dict:
