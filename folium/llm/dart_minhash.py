@@ -165,7 +165,7 @@ def _most(n: Column, match: Column, p: str) -> Column:
 def _odd(rows: DataFrame) -> DataFrame:
     """The rows that are not of their bucket's largest class: once these have been pivots, the bucket is settled."""
     counts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"))
-    return rows.join(counts, "key").where(F.col("comp") != F.col("most.comp")).select(*ROW)
+    return rows.join(counts, "key").where(F.col("comp") != F.col("most.comp"))
 
 
 def _matchable(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -189,11 +189,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     loose = 1 - 2 * (1 - threshold)
     turn = 0
     while not rows_in.isEmpty():
-        head = F.min(F.struct((-F.col("central")).alias("order"), "id", "n", "match", "comp")).alias("p")
-        pivots = _odd(rows_in) if turn else rows_in
+        head = F.min(F.struct((-F.col("central")).alias("order"), "id", "n", "match", "comp", "keys")).alias("p")
+        keys = rows_in.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # two for each band at most
+        held = rows_in.join(keys, "id")
+        pivots = _odd(held) if turn else held
         pivots = pivots.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(16**turn)).alias("slot")).agg(head).select(F.col("key").alias("k"), "p")
         least = loose if turn == 0 else threshold
-        faced = rows_in.join(pivots, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("p.comp")) & (_most(F.col("n"), F.col("match"), "p") >= least))
+        faced = held.join(pivots, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("p.comp")) & (_most(F.col("n"), F.col("match"), "p") >= least) & ((F.lit(turn) == 0) | (F.array_min(F.array_intersect("keys", "p.keys")) == F.col("key"))))
         first = F.col("id") < F.col("p.id")
         pairs = faced.select(
             F.least("id", "p.id").alias("a"),
@@ -209,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sides = F.array_compact(F.array(F.when(F.col("j") >= loose, F.lit(0)), F.when(F.coalesce(F.col("j"), F.lit(0.0)) < threshold, F.lit(1))))
             left = left.withColumn("side", F.explode(sides)).withColumn("key", F.xxhash64("key", "side")).select(*ROW)
         else:
-            left = rows_in.join(pivots.select(F.col("k").alias("key"), F.col("p.id").alias("id")), ["key", "id"], "left_anti")
+            left = rows_in.join(pivots.select(F.col("k").alias("key"), F.col("p.id").alias("id")), ["key", "id"], "left_anti").select(*ROW)
         links = measured.where(F.col("j") >= threshold)
         if not links.isEmpty():
             moved = connected_components(links, "ca", "cb").withColumnsRenamed({"node": "comp", "root": "to"})
@@ -220,8 +222,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         forget(rows_in, measured)
         rows_in = left
         if not left.isEmpty():
-            rows_in = cut(_unsettled(_matchable(left, sets, threshold)).select(*ROW))
-            forget(left)
+            for _ in range(2):  # what the first pass leaves out leaves others alone
+                rows_in = cut(_unsettled(_matchable(left, sets, threshold)).select(*ROW))
+                forget(left)
+                left = rows_in
         turn += 1
     forget(rows_in, sets)
     named = signed.select("doc_id", "text_key").join(texts.select("text_key", "id"), "text_key")
