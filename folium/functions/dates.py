@@ -33,7 +33,7 @@ def parse(x: str, order: str, d: Spark = SPARK) -> str:
     a, b, y = d.extract(x, NUMERIC, 1), d.extract(x, NUMERIC, 3), year(d.extract(x, NUMERIC, 5), d)
     way = f"coalesce({order_proof(x, d)}, CASE WHEN {d.integer(a)} = {d.integer(b)} THEN 'DMY' ELSE {order} END)"
     low = f"lower({x})"
-    dmy, mdy = rf"^([0-9]{{1,2}})[ -]{NAME}[ -,]+([0-9]{{4}}|[0-9]{{2}})$", rf"^{NAME} ([0-9]{{1,2}}), ([0-9]{{4}})$"
+    dmy, mdy = rf"^([0-9]{{1,2}})[ -]{NAME}[ ,-]+([0-9]{{4}}|[0-9]{{2}})$", rf"^{NAME} ([0-9]{{1,2}}), ([0-9]{{4}})$"
     number = lambda m: "CASE " + " ".join(f"WHEN {m} LIKE '{n}%' THEN '{i + 1}'" for i, n in enumerate(MONTHS)) + " END"
     named = d.date(year(d.extract(low, dmy, 3), d), number(d.extract(low, dmy, 2)), d.extract(low, dmy, 1))
     spelled = d.date(d.extract(low, mdy, 3), number(d.extract(low, mdy, 1)), d.extract(low, mdy, 2))
