@@ -28,3 +28,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             forget(both)
             return found.select("node", "root")
         labels = found
+
+
+def structural_classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, class): the coarsest classes in which equal nodes have equal signatures and, edge by edge, targets of equal classes.
+
+    nodes (node, signature), edges (node, place, target). Classes are named by hashes of what they are made of, so a round is
+    a join and an aggregate without any global order; rounds end when their number no longer grows. The least node of a class
+    stands for it.
+    """
+    state = cut(nodes.select("node", F.xxhash64("signature").alias("class"), F.xxhash64("signature").alias("own")))
+    count = state.select("class").distinct().count()
+    while True:
+        targets = edges.join(state.select(F.col("node").alias("target"), F.col("class").alias("of")), "target")
+        shape = targets.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("place", "of"))).alias("shape"))
+        found = cut(state.join(shape, "node", "left").select("node", F.xxhash64("own", "class", "shape").alias("class"), "own"))
+        forget(state)
+        state, was = found, count
+        count = state.select("class").distinct().count()
+        if count == was:
+            least = state.groupBy("class").agg(F.min("node").alias("representative"))
+            return state.join(least, "class").select("node", "representative")
