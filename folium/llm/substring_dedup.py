@@ -105,16 +105,28 @@ def _least_owner(table: pa.Table) -> pa.Table:
     begin = np.flatnonzero(np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
     least = np.empty_like(low)
     least[order] = np.repeat(low[order][begin], np.diff(np.r_[begin, len(order)]))
-    use = (least < low) | (many > 0)
+    clash = len(begin) > len(np.unique(one))  # equal in 64 bits, different in 96
     out, at = [], 0
     for b, g in zip(bundles, got):
-        mine = np.flatnonzero(use[at : at + len(g[0])])
-        if len(mine):
-            out.append((b, B.pack(g[0][mine], least[at + mine], g[2][mine])))
+        own = least[at : at + len(g[0])]
+        gone = np.flatnonzero((own < g[1]) & (g[3] == 0))  # one document of the bundle has it, and a smaller one elsewhere
+        some = np.flatnonzero(g[3] > 0)
+        if len(gone) + len(some):
+            out.append((b, bytes([clash]) + len(gone).to_bytes(8, "little") + B.pack(g[0][gone], *([g[2][gone]] if clash else [])) + B.pack(g[0][some], own[some], g[2][some])))
         at += len(g[0])
     return B.answers(out)
 
 
+def _told(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, the least document of each, their other 32 bits, and whether these are to be compared."""
+    clash, n = payload[0], int.from_bytes(payload[1:9], "little")
+    at = 9 + n * (12 if clash else 8)
+    gone = B.unpack(payload[9:at], *(("<u8", "<u4") if clash else ("<u8",)))
+    one, least, two = B.unpack(payload[at:], "<u8", "<i8", "<u4")
+    first = gone[1] if clash else np.zeros(n, np.uint32)
+    return np.r_[gone[0], one], np.r_[np.full(n, LEAST), least], np.r_[first, two], np.r_[np.full(n, bool(clash)), np.ones(len(one), bool)]
+
+
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
 
@@ -123,11 +135,11 @@ def _remove(digest: bool):
         out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
         if not len(table):
             return pa.Table.from_pydict(out, schema=OUT)
-        got = [B.unpack(p, "<u8", "<i8", "<u4") for p in B.payloads(told)]
-        one = np.concatenate([np.empty(0, np.uint64), *(g[0] for g in got)])
-        low, two = np.concatenate([np.empty(0, np.int64), *(g[1] for g in got)]), np.concatenate([np.empty(0, np.uint32), *(g[2] for g in got)])
+        got = [_told(p) for p in B.payloads(told)]
+        empty = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, bool))
+        one, low, two, strict = (np.concatenate([e, *(g[i] for g in got)]) for i, e in enumerate(empty))
         order = np.argsort(one, kind="stable")
-        one, low, two = one[order], low[order], two[order]
+        one, low, two, strict = one[order], low[order], two[order], strict[order]
         for ids, texts in B.sliced(*B.rows(table)):
             hashes, starts = H.words(texts, H.WHITE)
             gone = np.zeros(len(hashes), bool)
@@ -135,7 +147,7 @@ def _remove(digest: bool):
                 a, b = _windows(hashes)
                 hit, at = B.member(a, one)
                 owner = _ids(ids, starts)[: len(a)]
-                hit &= (two[at] == b) & (low[at] < owner) & H.within(starts, len(hashes), WINDOW)
+                hit &= ((two[at] == b) | ~strict[at]) & ((low[at] < owner) | (low[at] == LEAST)) & H.within(starts, len(hashes), WINDOW)
                 gone = H.covered(np.flatnonzero(hit), len(hashes), WINDOW)
             keep = (~gone).tolist()
             for i, text in enumerate(texts):
