@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import byte_bpe, dart_minhash, decontamination, fingerprints, licenses, quality, sharding, substring_dedup, suffix_dedup, token_counts
+from folium.llm import byte_bpe, dart_minhash, decontamination, fingerprints, licenses, oracles, quality, sharding, substring_dedup, suffix_dedup, token_counts
 from folium.session import table
 
 
@@ -26,7 +26,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontamination.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("items", F.array_join(F.col("items").cast("array<string>"), ",")).withColumn("containment", F.round("containment", 9))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.ORACLE_SQL}
+    return {"op1_license_scan": licenses.ORACLE_SQL, "op4_decontamination": oracles.CONTAMINATION, "op6_near_dedup": oracles.NEAR, "op8_substring_dedup": oracles.SUBSTRINGS}
