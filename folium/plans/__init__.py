@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folium.plans import documents, markup, ranges, scalars
+from folium.plans import documents, markup, more, ranges, scalars
 
-CATALOGUES = [ranges.catalogue, scalars.catalogue, documents.catalogue, markup.catalogue]
+CATALOGUES = [ranges.catalogue, scalars.catalogue, documents.catalogue, markup.catalogue, more.catalogue]
 
 
 def queries() -> dict:

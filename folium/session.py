@@ -25,7 +25,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return found
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="folium-checkpoint-")
     sc.setCheckpointDir(named)

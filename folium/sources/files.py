@@ -368,6 +368,46 @@ def ods_cells(raw: bytes) -> Iterator[Cell]:
             r += times
 
 
+def sml_cells(raw: bytes) -> Iterator[Cell]:
+    """XML Spreadsheet 2003: rows and cells may skip ahead by an index."""
+    root = ElementTree.fromstring(raw)
+    attr = lambda e, name: next((v for k, v in e.attrib.items() if k.rpartition("}")[2] == name), None)
+    sheets = [e for e in root.iter() if _tag(e) == "Worksheet"]
+    if not sheets:
+        raise ValueError("no worksheet")
+    for s, sheet in enumerate(sheets):
+        r = -1
+        for row in (e for e in sheet.iter() if _tag(e) == "Row"):
+            r = int(attr(row, "Index")) - 1 if attr(row, "Index") else r + 1
+            c = -1
+            for cell in (e for e in row if _tag(e) == "Cell"):
+                c = int(attr(cell, "Index")) - 1 if attr(cell, "Index") else c + 1
+                data = next((e for e in cell if _tag(e) == "Data"), None)
+                if data is not None:
+                    text = "".join(data.itertext())
+                    what = {"Number": "number", "Boolean": "boolean", "DateTime": "date", "Error": "error"}.get(attr(data, "Type") or "", "text")
+                    yield s, r, c, what, text, float(text) if what == "number" else None
+                c += int(attr(cell, "MergeAcross") or 0)
+
+
+def fb2_blocks(raw: bytes) -> Iterator[tuple[int, str, int, str]]:
+    """(place, kind, depth, text) of a FictionBook's titles and paragraphs, in reading order."""
+    body = next(e for e in ElementTree.fromstring(raw) if _tag(e) == "body")
+    out: list[tuple[str, int, str]] = []
+
+    def walk(e: ElementTree.Element, depth: int, title: bool) -> None:
+        for x in e:
+            name = _tag(x)
+            if name in ("p", "v", "subtitle"):
+                out.append(("heading" if title or name == "subtitle" else "paragraph", depth, " ".join("".join(x.itertext()).split())))
+            else:
+                walk(x, depth + (name == "section"), name == "title")
+
+    walk(body, 0, False)
+    for i, (what, depth, text) in enumerate(out):
+        yield i, what, depth, text
+
+
 def docx_blocks(raw: bytes) -> Iterator[tuple[int, str, str | None, str]]:
     """(place, kind, style, text) of the body's paragraphs and table rows."""
     body = next(e for e in Package(raw).xml("word/document.xml") if _tag(e) == "body")
@@ -497,7 +537,7 @@ def html_table_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, F.explode(grid(F.coalesce(F.col(html), F.lit("")))).alias("c")).select(key, "c.*")
 
 
-READERS = {"csv": csv_cells, "tsv": csv_cells, "dbf": dbf_cells, "slk": sylk_cells, "dif": dif_cells, "xlsx": xlsx_cells, "ods": ods_cells}
+READERS = {"csv": csv_cells, "tsv": csv_cells, "dbf": dbf_cells, "slk": sylk_cells, "dif": dif_cells, "xlsx": xlsx_cells, "ods": ods_cells, "xml": sml_cells}
 
 
 def read_grid(spark: SparkSession, path: str, format: str) -> DataFrame:
