@@ -147,13 +147,21 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "ca", "cb", (same / (F.size("x") + F.size("y") - same)).alias("j"))
 
 
-ROW = ["key", "id", "n", "match", "central", "comp"]
+ROW = ["key", "id", "n", "match", "comp"]
 
 
 def _unsettled(rows: DataFrame) -> DataFrame:
-    """The rows of buckets with rows of different classes, with `size`; of buckets with the same rows one."""
+    """Of rows (a written table, deleted here) those of buckets with rows of different classes; of buckets with the same rows one.
+
+    Adds the sorted keys of every row's buckets and how many rows it meets in them.
+    """
     buckets = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("mix")).where("lo <> hi")
-    return rows.join(buckets.groupBy("size", "mix").agg(F.min("key").alias("key")).select("key", "size"), "key")
+    crowded = cut(rows.join(buckets.groupBy("size", "mix").agg(F.min("key").alias("key")).select("key", "size"), "key").select(*ROW, "size"))
+    forget(rows)
+    own = crowded.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.sum("size").alias("central"))  # two keys for each band at most
+    out = cut(crowded.join(own, "id").select(*ROW, "keys", "central"))
+    forget(crowded)
+    return out
 
 
 def _most(n: Column, match: Column, p: str) -> Column:
@@ -176,26 +184,24 @@ def _matchable(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return rows.where(F.col("match") >= threshold * F.col("n")).select(*ROW)
 
 
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = DEEP) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and copy_of (the least doc_id with the same text), for every row."""
     signed = cut(signatures(docs, id_col, text_col, shingle, bands, rows))
     texts = signed.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    spread = texts.select(F.explode("keys").alias("key"), "id", F.col("n").cast("long").alias("n"), F.col("id").alias("comp"))
-    crowded = _unsettled(spread)
-    central = crowded.groupBy("id").agg(F.sum("size").alias("central"))  # how many rows a row meets in its buckets
-    rows_in = cut(crowded.join(central, "id").withColumn("match", F.col("n")).select(*ROW))
-    classes = cut(rows_in.select("id").distinct().withColumn("comp", F.col("id")))
-    sets = cut(_sets(docs, classes.select("id"), id_col, text_col, shingle))
+    spread = texts.select(F.explode("keys").alias("key"), "id", F.col("n").cast("long").alias("n"), F.col("n").cast("long").alias("match"), F.col("id").alias("comp"))
+    rows_in = _unsettled(cut(spread))
+    sets = cut(_sets(docs, rows_in.select("id").distinct(), id_col, text_col, shingle))
     loose = 1 - 2 * (1 - threshold)
-    turn = 0
+    found, turn = [], 0
     while not rows_in.isEmpty():
         head = F.min(F.struct((-F.col("central")).alias("order"), "id", "n", "match", "comp", "keys")).alias("p")
-        keys = rows_in.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"))  # two for each band at most
-        held = rows_in.join(keys, "id")
-        pivots = _odd(held) if turn else held
+        pivots = _odd(rows_in) if turn else rows_in
         pivots = pivots.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(16**turn)).alias("slot")).agg(head).select(F.col("key").alias("k"), "p")
-        least = loose if turn == 0 else threshold
-        faced = held.join(pivots, (F.col("key") == F.col("k")) & (F.col("comp") != F.col("p.comp")) & (_most(F.col("n"), F.col("match"), "p") >= least) & ((F.lit(turn) == 0) | (F.array_min(F.array_intersect("keys", "p.keys")) == F.col("key"))))
+        meet = (F.col("key") == F.col("k")) & (F.col("comp") != F.col("p.comp")) & (_most(F.col("n"), F.col("match"), "p") >= (threshold if turn else loose))
+        if turn:  # a pair is compared in the first bucket that both are in
+            meet = meet & (F.array_min(F.array_intersect("keys", "p.keys")) == F.col("key"))
+        faced = rows_in.join(pivots, meet)
         first = F.col("id") < F.col("p.id")
         pairs = faced.select(
             F.least("id", "p.id").alias("a"),
@@ -214,20 +220,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             left = rows_in.join(pivots.select(F.col("k").alias("key"), F.col("p.id").alias("id")), ["key", "id"], "left_anti").select(*ROW)
         links = measured.where(F.col("j") >= threshold)
         if not links.isEmpty():
+            found.append(cut(links.select("a", "b")))
             moved = connected_components(links, "ca", "cb").withColumnsRenamed({"node": "comp", "root": "to"})
-            was, classes = classes, cut(classes.join(moved, "comp", "left").select("id", F.coalesce("to", "comp").alias("comp")))
-            forget(was)
             left = left.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).select(*ROW)
-        left = cut(_unsettled(left).select(*ROW))
+        left = cut(_matchable(cut(left), sets, threshold))
         forget(rows_in, measured)
-        rows_in = left
-        if not left.isEmpty():
-            for _ in range(2):  # what the first pass leaves out leaves others alone
-                rows_in = cut(_unsettled(_matchable(left, sets, threshold)).select(*ROW))
-                forget(left)
-                left = rows_in
+        rows_in = _unsettled(left)
         turn += 1
     forget(rows_in, sets)
+    links = found[0] if found else signed.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false")
+    for more in found[1:]:
+        links = links.unionByName(more)
+    classes = connected_components(links, "a", "b").withColumnsRenamed({"node": "id", "root": "comp"})
     named = signed.select("doc_id", "text_key").join(texts.select("text_key", "id"), "text_key")
     return named.join(classes, "id", "left").select("doc_id", F.coalesce("comp", "id").alias("class_id"), F.col("id").alias("copy_of"))
 
