@@ -13,13 +13,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from folium.session import parallelism
 
 BUNDLE_BYTES = 4_000_000
 PART_BYTES = 8_000_000
+#: Bundles or parts that a task takes at most, on average.
+A_TASK = 8
 SEND = "part long, bundle long, payload binary"
 ANSWER = "bundle long, payload binary"
 SEND_ARROW = pa.schema([("part", pa.int64()), ("bundle", pa.int64()), ("payload", pa.binary())])
@@ -31,6 +33,7 @@ def bundled(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) ->
     n = parallelism(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     bundles, parts = max(4 * n, total // BUNDLE_BYTES), max(n, total // PART_BYTES)
+    n = max(n, bundles // A_TASK)
     out = docs.select(
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(bundles)).alias("bundle"),
         F.col(id_col).cast("long").alias("doc_id"),
@@ -100,7 +103,13 @@ def payloads(table: pa.Table) -> list[bytes]:
     return [x for x in table.column("payload").to_pylist() if x is not None]
 
 
-def shared_keys(sent: DataFrame) -> DataFrame:
+def by_part(sent: DataFrame, parts: int) -> GroupedData:
+    """sent, grouped by part, over as many tasks as the parts need."""
+    n = parts // A_TASK
+    return (sent.repartition(n, "part") if n > parallelism(sent.sparkSession) else sent).groupBy("part")
+
+
+def shared_keys(sent: DataFrame, parts: int) -> DataFrame:
     """Of sent (key uint64, many uint8) entries: for each bundle the keys that another bundle has too, or that it has many times."""
 
     def work(table: pa.Table) -> pa.Table:
@@ -122,7 +131,7 @@ def shared_keys(sent: DataFrame) -> DataFrame:
                 out.append((b, pack(mine)))
         return answers(out)
 
-    return sent.groupBy("part").applyInArrow(work, ANSWER)
+    return by_part(sent, parts).applyInArrow(work, ANSWER)
 
 
 def member(values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

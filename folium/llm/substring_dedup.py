@@ -166,7 +166,7 @@ def _remove(digest: bool):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words (UTF-8, joined by a space), or the hex SHA-256 of these as bytes."""
     texts, parts = B.bundled(docs, id_col, text_col)
-    shared = B.shared_keys(texts.groupBy("bundle").applyInArrow(_send_anchors(parts), B.SEND))
+    shared = B.shared_keys(texts.groupBy("bundle").applyInArrow(_send_anchors(parts), B.SEND), parts)
     sent = texts.groupBy("bundle").cogroup(shared.groupBy("bundle")).applyInArrow(_send_windows(parts), B.SEND)
-    told = sent.groupBy("part").applyInArrow(_least_owner, B.ANSWER)
+    told = B.by_part(sent, parts).applyInArrow(_least_owner, B.ANSWER)
     return texts.groupBy("bundle").cogroup(told.groupBy("bundle")).applyInArrow(_remove(digest), "doc_id long, n_words long, n_removed long, kept binary")

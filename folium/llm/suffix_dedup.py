@@ -259,9 +259,9 @@ def _remove(digest: bool, whole: bool = False, rest: pa.DataType | None = None):
 
 def _answers(texts: DataFrame, parts: int) -> DataFrame:
     """Steps 1 to 3: for every bundle its pieces with repeated windows."""
-    shared = B.shared_keys(texts.groupBy("bundle").applyInArrow(_send_minimizers(parts), B.SEND))
+    shared = B.shared_keys(texts.groupBy("bundle").applyInArrow(_send_minimizers(parts), B.SEND), parts)
     sent = texts.groupBy("bundle").cogroup(shared.groupBy("bundle")).applyInArrow(_send_pieces(parts), B.SEND)
-    return sent.groupBy("part").applyInArrow(_repeated, B.ANSWER)
+    return B.by_part(sent, parts).applyInArrow(_repeated, B.ANSWER)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
