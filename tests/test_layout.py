@@ -51,3 +51,16 @@ def test_structural_classes(spark):
     edges = [(0, 0, 4), (1, 0, 5), (2, 0, 0), (3, 0, 1), (2, 1, 6), (3, 1, 7)]
     got = graph.structural_classes(spark.createDataFrame(nodes, "node long, signature string"), spark.createDataFrame(edges, "node long, place int, target long"))
     assert {r.node: r.representative for r in got.collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4, 6: 4, 7: 4}
+
+
+def test_ruled_tables(spark):
+    from folium.operators import detect
+
+    across = spark.createDataFrame([(1, i, float(y), 0.0, 200.0) for i, y in enumerate((0, 20, 40))] + [(1, 9, 300.0, 0.0, 50.0), (2, 0, 0.0, 0.0, 50.0), (2, 1, 1.0, 0.0, 50.0)], "page int, across_id int, y double, x0 double, x1 double")
+    down = spark.createDataFrame([(1, i, float(x), 0.0, 40.0) for i, x in enumerate((0, 100, 101, 200))] + [(2, 0, 10.0, 0.0, 5.0), (2, 1, 40.0, 0.0, 5.0)], "page int, down_id int, x double, y0 double, y1 double")
+    words = spark.createDataFrame([(1, 0, 10.0, 5.0, "a"), (1, 1, 30.0, 5.0, "b"), (1, 2, 150.0, 5.0, "c"), (1, 3, 150.0, 30.0, "d"), (1, 4, 500.0, 5.0, "out")], "page int, word_id int, x double, y double, text string")
+    tables = detect.ruled_tables(across, down, "page")
+    got = tables.collect()
+    assert [(r.page, r.xs, r.ys) for r in got] == [(1, [0.0, 100.0, 200.0], [0.0, 20.0, 40.0])]
+    assert sorted((r.row, r.col, r.text) for r in detect.table_cells(tables, words, "page").collect()) == [(0, 0, "a b"), (0, 1, "c"), (1, 1, "d")]
+    assert [r.text for r in detect.free_words(tables, words, "page").collect()] == ["out"]
