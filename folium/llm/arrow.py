@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
+#: Rows of a batch that Spark sends to Python at most; its default holds ten times as many texts in memory, twice.
+BATCH_ROWS = 1000
 
 
 def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -32,3 +35,11 @@ def mapped(work: Callable[[pa.RecordBatch], dict], schema: pa.Schema, text: str
             yield pa.RecordBatch.from_pydict(work(piece), schema=schema)
 
     return run
+
+
+def over(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """rows.mapInArrow with small batches; the setting stays with the session, as the plan runs later."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(rows.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        rows.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return rows.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.arrow import mapped
+from folium.llm.arrow import mapped, over
 
 LONG = 96
 TABLE_PIECES = 400_000
@@ -193,6 +193,16 @@ def numbers(shown: str) -> np.ndarray:
     return np.fromstring(shown, np.int32, sep=",") if shown else np.empty(0, np.int32)
 
 
+def _mapped(work, schema: pa.Schema, path: str, pattern: str):
+    """mapped(), and the table of pieces let go when a task ends, so that no worker holds it through later stages."""
+
+    def run(batches):
+        yield from mapped(work, schema)(batches)
+        load(path, pattern).table.clear()
+
+    return run
+
+
 def _encoded(batch: pa.RecordBatch, path: str, pattern: str) -> tuple[Encoder, list[str], list[str]]:
     encoder = load(path, pattern)
     texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -208,7 +218,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         ids = [numbers(x) for x in shown]
         return {"doc_id": batch.column(0), "n_tokens": [len(x) for x in ids], "ids": ids, "decoded_sha256": [hashlib.sha256(encoder.decode(x.tolist())).hexdigest() for x in ids]}
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(mapped(work, schema), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
+    return over(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _mapped(work, schema, path, pattern), "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,4 +237,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             out["same"].append(raw == text.encode())
         return {"doc_id": batch.column(0)} | out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(mapped(work, schema), SCHEMA)
+    return over(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), _mapped(work, schema, path, pattern), SCHEMA)

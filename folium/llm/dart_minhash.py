@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm import hashing as H
-from folium.llm.arrow import mapped
+from folium.llm.arrow import mapped, over
 from folium.operators.graph import connected_components
 from folium.session import cut, forget
 
@@ -119,7 +119,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
         names = [f"null {i}" if t is None else hashlib.md5(t.encode()).hexdigest() for i, t in zip(ids, texts)]
         return {"doc_id": ids, "text_key": names, "n": n, "keys": [k if m else [] for k, m in zip(keys, n)]}
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(mapped(work, schema), "doc_id long, text_key string, n int, keys array<long>")
+    return over(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), mapped(work, schema), "doc_id long, text_key string, n int, keys array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -136,7 +136,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle:
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return some.mapInArrow(mapped(work, schema), "id long, cells array<int>").dropDuplicates(["id"])
+    return over(some, mapped(work, schema), "id long, cells array<int>").dropDuplicates(["id"])
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm import hashing as H
-from folium.llm.arrow import mapped
+from folium.llm.arrow import mapped, over
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -148,7 +148,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             found = held.value.search([t or "" for t in batch.column("text").to_pylist()], threshold)
             return {"doc_id": batch.column(0), "row": batch.column(1), "items": [[i for i, _ in f] for f in found], "containment": [max((c for _, c in f), default=0.0) for f in found]}
 
-        parts.append(rows.mapInArrow(mapped(work, schema), "doc_id long, row long, items array<long>, containment double"))
+        parts.append(over(rows, mapped(work, schema), "doc_id long, row long, items array<long>, containment double"))
     out = parts[0]
     if len(parts) > 1:
         for p in parts[1:]:
@@ -174,5 +174,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 clean = [not f for f in held.value.search([t or "" for t in piece.column(text_col).to_pylist()], threshold)]
                 yield piece.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = over(out, run, docs.schema)
     return out

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm import hashing as H
-from folium.llm.arrow import mapped
+from folium.llm.arrow import mapped, over
 
 PASSAGE = 512
 TRAIN_ROWS = 4000
@@ -187,7 +187,7 @@ def score_documents(docs: DataFrame, model: Attention | None, id_col: str = "doc
         return {"doc_id": batch.column(0), "held_out": batch.column(2), "score": score, "predicted": (score >= cut).astype(np.int32)}
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(fold(F.col(id_col)) == 2, F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(mapped(work, schema), "doc_id long, held_out boolean, score double, predicted int")
+    return over(rows, mapped(work, schema), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Attention | None, text_col: str = "text", cut: float = CUT) -> DataFrame:
@@ -206,4 +206,4 @@ def keep_good(docs: DataFrame, model: Attention | None, text_col: str = "text",
             good = model.score([(t or "").encode() for t in piece.column(text_col).to_pylist()]) >= cut
             yield pa.RecordBatch.from_arrays(piece.filter(pa.array(good)).columns, schema=schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return over(docs, run, docs.schema)

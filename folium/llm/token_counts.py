@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from folium.llm.arrow import mapped
+from folium.llm.arrow import mapped, over
 
 LIMIT = 2048
 TABLE_WORDS = 400_000
@@ -207,4 +207,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
             at += len(ws)
         return {"doc_id": batch.column(0), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens], "n_words": counts}
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(mapped(work, schema), SCHEMA)
+    return over(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), mapped(work, schema), SCHEMA)
