@@ -6,12 +6,21 @@ part of the sequence, so a later, more general rule does not fire on the same se
 
 All of it is expressions on the row: no shuffle, no join, nothing collected. The table and the rules are literals.
 
+A known sentence may be broken over lines in any way: a line that ends without a mark and begins a known sentence is joined
+with the lines after it, up to an empty line. Lines that are sentences of their own (titles, notices) are still taken alone,
+and `n_sentences` counts lines as they are cut.
+
+`ORACLE_SQL` has SENTENCES and RULES alone and no such joining: it says less than the operator wherever a text holds the whole
+sentences of WHOLE or a sentence broken before other than a small letter.
+
 Defined cases: null or empty text has no sentences and no licences; a sentence that occurs twice counts twice in the
 sequence and once in the licences; repeated rows each give a row; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,20 +104,67 @@ RULES = [
     ("proprietary", r",copyright,reserved"),
 ]
 
+_OR_LATER = "of the license or (at your option) any later version"
+_FSF = "you can redistribute it and/or modify it under the terms of the gnu {} as published by the free software foundation"
+_ASIS = "the software is provided as is without warranty of any kind express or implied"
+
+#: Sentences as the published texts have them, to their ends.
+WHOLE = {
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "Apache-2.0-asis",
+    "you may obtain a copy of the license at http//www.apache.org/licenses/license-2.0": "Apache-2.0-copy",
+    "you may obtain a copy of the license at https//www.apache.org/licenses/license-2.0": "Apache-2.0-copy",
+    "apache license version 2.0 january 2004": "Apache-2.0-title",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files (the software) to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and/or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "MIT-grant",
+    "the above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the software": "MIT-notice",
+    f"{_ASIS} including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "MIT-asis",
+    "gnu general public license version 2 june 1991": "GPL-2.0-title",
+    "gnu general public license version 3 29 june 2007": "GPL-3.0-title",
+    f"{_FSF.format('general public license')} either version 2 {_OR_LATER}": "GPL-2.0-notice",
+    f"{_FSF.format('general public license')} either version 3 {_OR_LATER}": "GPL-3.0-notice",
+    "this library is free software": "LGPL-free",
+    _FSF.format("lesser general public license"): "LGPL-terms",
+    f"either version 2.1 {_OR_LATER}": "LGPL-2.1-later",
+    f"{_FSF.format('lesser general public license')} either version 2.1 {_OR_LATER}": "LGPL-2.1-notice",
+    f"{_FSF.format('lesser general public license')} either version 3 {_OR_LATER}": "LGPL-3.0-notice",
+    f"{_FSF.format('affero general public license')} either version 3 {_OR_LATER}": "AGPL-3.0-notice",
+    "this source code form is subject to the terms of the mozilla public license v": "MPL-2.0-terms",  # 'v. 2.0' is cut after the dot
+    "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISC-grant",
+}
+KNOWN = SENTENCES | WHOLE
+
+#: Rules on the identifiers of WHOLE, before the others.
+WHOLE_RULES = [
+    ("GPL-2.0-or-later", r"(,GPL-free)?,GPL-2\.0-notice"),
+    ("GPL-3.0-or-later", r"(,GPL-free)?,GPL-3\.0-notice"),
+    ("LGPL-2.1-or-later", r"(,L?GPL-free)?(,LGPL-2\.1-notice|,LGPL-terms,LGPL-2\.1-later)"),
+    ("LGPL-3.0-or-later", r"(,L?GPL-free)?(,LGPL-3\.0-notice|,LGPL-terms,GPL-3\.0-later)"),
+    ("AGPL-3.0-or-later", r"(,GPL-free)?,AGPL-3\.0-notice"),
+]
+
+#: How known sentences begin (a word and the next, if there is one), and all of them, each between line ends.
+BEGINNING = "^(?:" + "|".join(sorted({f"{re.escape(a)}(?:$| {re.escape(b)}(?:$| ))" for a, b in (k.split(" ")[:2] for k in KNOWN)})) + ")"
+TABLE = "\n" + "\n".join(KNOWN) + "\n"
+
 #: A line that goes on in the next; a sentence's end; what normalising drops; edges it strips.
 WRAPPED = r"([^.!?;:\n])\r?\n[ \t]*([a-z])"
 SENTENCE_END = r"([.!?;:])[ \t\r]+"
 DROPPED = r"[^a-z0-9.()/+ -]+"
 GAPS = r" +"
 EDGES = r"^[ .-]+|[ .-]+$"
+STOP = r"[.!?;:][ \t\r]*$"
 COPYRIGHT = r"^copyright( \(c\))? [0-9][0-9][0-9][0-9]"
 
 
+def lines(text: Column) -> Column:
+    """The sentences of a text, in order, and its empty lines."""
+    joined = F.regexp_replace(text, WRAPPED, "$1 $2")
+    return F.split(F.regexp_replace(joined, SENTENCE_END, "$1\n"), "\n")
+
+
 def sentences(text: Column) -> Column:
     """The non-empty sentences of a text, in order."""
-    joined = F.regexp_replace(text, WRAPPED, "$1 $2")
-    cuts = F.split(F.regexp_replace(joined, SENTENCE_END, "$1\n"), "\n")
-    return F.filter(cuts, lambda s: F.length(s) > 0)
+    return F.filter(lines(text), lambda s: F.length(s) > 0)
 
 
 def normalise(sentence: Column) -> Column:
@@ -119,14 +175,30 @@ def normalise(sentence: Column) -> Column:
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences, n_known, sequence (identifiers joined by commas), licenses (names joined by commas, in rule order)."""
-    known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    longest = max(map(len, SENTENCES)) + 64  # longer sentences cannot be known ones
+    known = F.create_map(*[F.lit(x) for kv in KNOWN.items() for x in kv])
+    longest = max(map(len, KNOWN)) + 64  # longer sentences cannot be known ones
+    none = F.array().cast("array<string>")
     name = lambda s: F.when(s.rlike(COPYRIGHT), "copyright").otherwise(F.try_element_at(known, s))
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in RULES])
-    df = docs.select(F.col(id_col).alias("doc_id"), sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("sents"))
-    short = F.filter("sents", lambda s: (F.length(s) >= 11) & (F.length(s) <= longest))
-    ids = F.filter(F.transform(F.transform(short, normalise), name), lambda x: x.isNotNull())
-    df = df.select("doc_id", F.size("sents").cast("long").alias("n_sentences"), ids.alias("ids"))
+    begins = lambda s: F.contains(F.lit(TABLE), F.concat(F.lit("\n"), s, F.lit(" ")))
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in WHOLE_RULES + RULES])
+    df = docs.select(F.col(id_col).alias("doc_id"), lines(F.coalesce(F.col(text_col), F.lit(""))).alias("cuts"))
+    short = F.transform("cuts", lambda s: F.when(F.length(s) <= longest, s).otherwise(""))
+    df = df.select("doc_id", F.size(F.filter("cuts", lambda s: F.length(s) > 0)).cast("long").alias("n_sentences"), F.transform(short, lambda s: F.struct(normalise(s).alias("s"), s.rlike(STOP).alias("stop"))).alias("cuts"))
+    df = df.withColumn("cuts", F.transform("cuts", lambda x: F.struct(x["s"].alias("s"), x["stop"].alias("stop"), name(x["s"]).alias("id"))))
+    going = lambda x: x["id"].isNull() & ~x["stop"] & x["s"].rlike(BEGINNING) & begins(x["s"])
+
+    def step(state: Column, x: Column) -> Column:
+        runs = F.transform(state["open"], lambda o: F.concat(o, F.lit(" "), x["s"]))
+        found = F.coalesce(F.get(F.filter(F.transform(runs, lambda r: F.try_element_at(known, r)), lambda i: i.isNotNull()), F.lit(0)), x["id"])
+        on = F.filter(F.concat(runs, F.array(x["s"])), begins)
+        return F.struct(
+            F.when(found.isNull(), state["ids"]).otherwise(F.concat(state["ids"], F.array(found))).alias("ids"),
+            F.when(found.isNotNull() | x["stop"] | (x["s"] == ""), none).otherwise(on).alias("open"),
+        )
+
+    alone = F.filter(F.transform("cuts", lambda x: x["id"]), lambda i: i.isNotNull())
+    joined = F.aggregate("cuts", F.struct(none.alias("ids"), none.alias("open")), step)["ids"]
+    df = df.select("doc_id", "n_sentences", F.when(F.exists("cuts", going), joined).otherwise(alone).alias("ids"))
     start = F.struct(F.concat(F.lit(","), F.array_join("ids", ",")).alias("left"), F.array().cast("array<string>").alias("names"))
 
     def apply(state: Column, rule: Column) -> Column:
