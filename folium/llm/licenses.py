@@ -10,8 +10,9 @@ A known sentence may be broken over lines in any way: a line that ends without a
 with the lines after it, up to an empty line. Lines that are sentences of their own (titles, notices) are still taken alone,
 and `n_sentences` counts lines as they are cut.
 
-`ORACLE_SQL` has SENTENCES and RULES alone and no such joining: it says less than the operator wherever a text holds the whole
-sentences of WHOLE or a sentence broken before other than a small letter.
+`ORACLE_SQL` has SENTENCES and RULES alone, no such joining, and drops sentences by their length before normalising: it says
+less than the operator wherever a text holds the whole sentences of WHOLE, a sentence broken before other than a small letter,
+or a known sentence or copyright line longer than 264 characters as written.
 
 Defined cases: null or empty text has no sentences and no licences; a sentence that occurs twice counts twice in the
 sequence and once in the licences; repeated rows each give a row; other columns are ignored.
@@ -176,14 +177,12 @@ def normalise(sentence: Column) -> Column:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_sentences, n_known, sequence (identifiers joined by commas), licenses (names joined by commas, in rule order)."""
     known = F.create_map(*[F.lit(x) for kv in KNOWN.items() for x in kv])
-    longest = max(map(len, KNOWN)) + 64  # longer sentences cannot be known ones
     none = F.array().cast("array<string>")
     name = lambda s: F.when(s.rlike(COPYRIGHT), "copyright").otherwise(F.try_element_at(known, s))
     begins = lambda s: F.contains(F.lit(TABLE), F.concat(F.lit("\n"), s, F.lit(" ")))
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in WHOLE_RULES + RULES])
     df = docs.select(F.col(id_col).alias("doc_id"), lines(F.coalesce(F.col(text_col), F.lit(""))).alias("cuts"))
-    short = F.transform("cuts", lambda s: F.when(F.length(s) <= longest, s).otherwise(""))
-    df = df.select("doc_id", F.size(F.filter("cuts", lambda s: F.length(s) > 0)).cast("long").alias("n_sentences"), F.transform(short, lambda s: F.struct(normalise(s).alias("s"), s.rlike(STOP).alias("stop"))).alias("cuts"))
+    df = df.select("doc_id", F.size(F.filter("cuts", lambda s: F.length(s) > 0)).cast("long").alias("n_sentences"), F.transform("cuts", lambda s: F.struct(normalise(s).alias("s"), s.rlike(STOP).alias("stop"))).alias("cuts"))
     df = df.withColumn("cuts", F.transform("cuts", lambda x: F.struct(x["s"].alias("s"), x["stop"].alias("stop"), name(x["s"]).alias("id"))))
     going = lambda x: x["id"].isNull() & ~x["stop"] & x["s"].rlike(BEGINNING) & begins(x["s"])
 

@@ -78,3 +78,10 @@ def test_lines_of_their_own_are_kept(frame):
     texts = ["MIT License\nCopyright (c) 2020 X\nAll rights reserved", "Licensed under the\nMIT License", "Licensed under the\n\nMIT License", "You may\nLicensed under the\nMIT License"]
     got = [r.sequence for r in L.scan_licenses(frame(list(enumerate(texts)))).orderBy("doc_id").collect()]
     assert got == ["MIT-title,copyright,reserved", "MIT-ref", "MIT-title", "MIT-ref"]
+
+
+def test_long_sentences(frame):
+    holders = ", ".join(f"Holder Number {i}" for i in range(25))
+    texts = ["=" * 300 + " MIT License", f"Copyright (c) 2020 {holders}. All rights reserved.", " " * 400 + "Released under the MIT License.", "* " * 200 + "licensed under the mit license" + " *" * 200, "x" * 100_000]
+    got = [r.licenses for r in L.scan_licenses(frame(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert got == ["MIT", "proprietary", "MIT", "MIT", ""]
