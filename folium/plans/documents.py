@@ -338,6 +338,19 @@ def components(orders: DataFrame) -> DataFrame:
     return graph.connected_components(e)
 
 
+#: All orders, each an edge between its customer and itself; orders are below zero, so that no id stands for both.
+@add("""WITH RECURSIVE e AS (SELECT o_custkey AS a, -o_orderkey AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+  r(node, root) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.root = u.a) SELECT node, min(root) AS root FROM r GROUP BY 1""", "orders")
+def components_whole(orders: DataFrame) -> DataFrame:
+    return graph.connected_components(orders.selectExpr("o_custkey AS src", "-o_orderkey AS dst"))
+
+
+#: All orders with customers and orders as nodes of one kind: long chains and large components, too many pairs for recursive SQL.
+@add(None, "orders")
+def components_chained(orders: DataFrame) -> DataFrame:
+    return graph.connected_components(orders.selectExpr("o_custkey AS src", "o_orderkey AS dst"))
+
+
 @add("SELECT p_partkey, p_type, (dense_rank() OVER (ORDER BY p_type) - 1)::INT AS code FROM part", "part")
 def dictionary_encode(part: DataFrame) -> DataFrame:
     codes = part.select("p_type").distinct().withColumn("code", F.row_number().over(Window.orderBy("p_type")) - 1)

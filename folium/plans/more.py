@@ -35,6 +35,17 @@ def merged_ranges(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     return G.in_boxes(p, b, "page", 500.0, ["l_orderkey", "l_linenumber", "l_partkey", "page", "x", "y"]).where("box_id IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", "box_id")
 
 
+#: The same over all boxes.
+@add("""WITH b AS (SELECT p_partkey AS box_id, p_partkey % 10 AS page, p_size * 100.0 AS "left", p_size * 100.0 + 150 AS "right", 1.0 AS top, 1.0 + p_size % 5 AS bottom FROM part),
+  p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 10 AS page, floor(l_extendedprice / 20) AS x, l_linenumber::DOUBLE AS y FROM lineitem),
+  h AS (SELECT l_orderkey, l_linenumber, l_partkey, box_id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, p.page, x ORDER BY ("right" - "left") * (bottom - top), box_id) AS r FROM (SELECT DISTINCT * FROM p) p JOIN b ON p.page = b.page AND x BETWEEN "left" AND "right" AND y BETWEEN top AND bottom)
+  SELECT l_orderkey, l_linenumber, l_partkey, box_id FROM h WHERE r = 1""", "part", "lineitem")
+def merged_ranges_whole(part: DataFrame, lineitem: DataFrame) -> DataFrame:
+    b = part.selectExpr("p_partkey AS box_id", "p_partkey % 10 AS page", "p_size * 100.0D AS left", "p_size * 100.0D + 150 AS right", "1.0D AS top", "1.0D + p_size % 5 AS bottom")
+    p = lineitem.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey % 10 AS page", "cast(floor(l_extendedprice / 20) AS DOUBLE) AS x", "cast(l_linenumber AS DOUBLE) AS y").distinct()
+    return G.in_boxes(p, b, "page", 500.0, ["l_orderkey", "l_linenumber", "l_partkey", "page", "x", "y"]).where("box_id IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", "box_id")
+
+
 @add("""WITH g AS (SELECT l_orderkey, l_linenumber, l_suppkey % 20 AS page, floor(l_extendedprice % 1000 / 24) AS cx, floor(l_quantity / 24) AS cy, l_returnflag FROM lineitem)
   SELECT l_orderkey, l_linenumber FROM g WHERE l_returnflag = 'A' AND NOT EXISTS (SELECT 1 FROM g o WHERE o.l_returnflag = 'N' AND o.page = g.page AND o.cx = g.cx AND o.cy = g.cy AND o.l_linenumber = g.l_linenumber)""", "lineitem")
 def ocr_gaps(lineitem: DataFrame) -> DataFrame:
