@@ -507,22 +507,23 @@ def html_text(html: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def html_tables(html: str, columns: int = 63, cells: int = 20_000) -> Iterator[tuple[int, int, int, int, int, bool, str]]:
-    """(table, row, col, rowspan, colspan, header, text) with spans laid out on a grid."""
+def html_tables(html: str, columns: int = 63, rows: int = 20_000) -> Iterator[tuple[int, int, int, int, int, bool, str]]:
+    """(table, row, col, rowspan, colspan, header, text) with spans laid out on a grid of so many columns and rows at most."""
     flow = _Flow()
     flow.feed(html or "")
     for t, table in enumerate(flow.tables):
-        taken: set[tuple[int, int]] = set()
-        for r, row in enumerate(table):
+        n = min(len(table), rows)
+        free = [0] * columns  # the row from which each column is free
+        for r, row in enumerate(table[:n]):
             c = 0
             for text, down, across, head in row:
-                while (r, c) in taken:
+                while c < columns and free[c] > r:
                     c += 1
-                if c >= columns or len(taken) > cells:
+                if c >= columns:
                     break
-                across = min(across, columns - c)
-                taken |= {(r + i, c + j) for i in range(min(down, len(table) - r)) for j in range(across)}
-                yield t, r, c, min(down, len(table) - r), across, head, text
+                down, across = min(down, n - r), min(across, columns - c)
+                free[c : c + across] = [max(x, r + down) for x in free[c : c + across]]
+                yield t, r, c, down, across, head, text
                 c += across
 
 

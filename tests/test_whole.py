@@ -5,6 +5,7 @@ from collections import defaultdict
 
 from folium.plans import documents as D
 from folium.plans import more as M
+from folium.sources import files
 
 
 def roots(edges):
@@ -47,3 +48,13 @@ def test_all_boxes_are_looked_up(spark):
             want.add((o, n, p, min(hit)[1]))
     got = M.merged_ranges_whole(spark.createDataFrame(part, "p_partkey long, p_size int"), spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double"))
     assert {tuple(r) for r in got.collect()} == want and any(i % 25 for *_, i in want)
+
+
+def test_tables_of_many_cells():
+    page = "<table>" + "".join(f"<tr><td rowspan=2>{r}</td>" + "<td>x</td>" * 5 + "</tr>" for r in range(20_010)) + "</table>"
+    cells = list(files.html_tables(page))
+    assert len(cells) == 6 * 20_000 and {c[1] for c in cells} == set(range(20_000))
+    assert cells[6] == (0, 1, 1, 2, 1, False, "1") and cells[-6][3] == 1
+    wide = "<table>" + ("<tr>" + "<td>x</td>" * 70 + "</tr>") * 400 + "<tr><td>last</td></tr></table>"
+    cells = list(files.html_tables(wide))
+    assert len(cells) == 63 * 400 + 1 and cells[-1] == (0, 400, 0, 1, 1, False, "last")
