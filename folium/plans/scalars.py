@@ -95,6 +95,14 @@ dual("parse_clocks", "lineitem", lambda d: [
 dual("excel_serial", "orders", lambda d: [{"o_orderkey": "o_orderkey", "serial": f"cast({d.days('cast(o_orderdate AS DATE)')} AS INT)"}, {"o_orderkey": "o_orderkey", "serial": "serial", "serial1904": "serial - 1462"}])
 
 DOC = {"doc_id": "doc_id"}
+
+
+def _each_line(f: Callable[[str], str], d: Spark, text: str = "text", between: str = "chr(10)") -> str:
+    """f of every line of a text, joined again."""
+    parts = f"transform(split({text}, chr(10)), x -> {f('x')})" if d is SPARK else f"list_transform(string_split({text}, chr(10)), lambda x: {f('x')})"
+    return f"array_join({parts}, {between})" if d is SPARK else f"array_to_string({parts}, {between})"
+
+
 dual("visible_text", "documents", lambda d: [DOC | {"shown": d.chars(X.visible("text", d))}])
 dual("clean_text", "documents", lambda d: [DOC | {"kept": d.chars(X.clean("text", d))}])
 dual("signature_norm", "documents", lambda d: [DOC | {"sig": X.signature(d.extract("text", r"^[ -~]*", 0), d)}])
@@ -105,6 +113,13 @@ dual("csv_quote", "documents", lambda d: [DOC | {"t": d.extract("text", r"^[^\n]
 dual("csv_inert", "lineitem", lambda d: [KEY | {"t": "CASE l_linenumber % 7 WHEN 0 THEN concat('=A', l_returnflag) WHEN 1 THEN '-1,250.5' WHEN 2 THEN concat('-', l_linestatus) WHEN 3 THEN '-' WHEN 4 THEN '@cmd' WHEN 5 THEN '+12%' ELSE l_returnflag END"}, KEY | {"field": X.inert("t", d)}])
 dual("xml_escape", "pages", lambda d: [{"page_id": "page_id", "n": d.chars(X.xml("html", d))}])
 dual("leaders", "documents", lambda d: [DOC | {"dots": X.leaders("concat(substring(text, 1, 20), CASE doc_id % 3 WHEN 0 THEN '. . . . . . . . . . . .' WHEN 1 THEN '........' ELSE '____________' END)", d)}])
+# The same rules over whole texts: on every line, and a field of all lines.
+dual("signature_lines", "documents", lambda d: [DOC | {"sigs": _each_line(lambda x: X.signature(x, d), d)}])
+dual("markdown_lines", "documents", lambda d: [DOC | {"shown": _each_line(lambda x: X.line_guard(X.markdown(x, d), d), d)}])
+dual("csv_texts", "documents", lambda d: [DOC | {"field": X.csv_quote("text", d)}])
+dual("leader_lines", "documents", lambda d: [
+    DOC | {"t": "concat(text, CASE doc_id % 3 WHEN 0 THEN '. . . . . . . . . . . .' WHEN 1 THEN '........' ELSE '____________' END)"},
+    DOC | {"dots": _each_line(lambda x: f"CASE WHEN {X.leaders(x, d)} THEN '1' ELSE '0' END", d, "t", "''")}])
 dual("heading_levels", "lineitem", lambda d: [KEY | {"style": "CASE l_linenumber % 3 WHEN 0 THEN concat('Heading', cast(l_linenumber AS VARCHAR(9))) WHEN 1 THEN concat('Heading ', cast(l_linenumber AS VARCHAR(9))) ELSE 'Title' END"}, KEY | {"level": X.heading_level("style", d)}])
 WORDS = "CASE l_orderkey % 12 WHEN 0 THEN concat(cast(l_linenumber AS VARCHAR(9)), '.') WHEN 1 THEN concat('(', lower(l_returnflag), ')') WHEN 2 THEN 'IV.' WHEN 3 THEN '(a]' WHEN 4 THEN '12' WHEN 5 THEN 'iiii.' WHEN 6 THEN '•' WHEN 7 THEN 'hello' WHEN 8 THEN 'xlii)' WHEN 9 THEN '0.' WHEN 10 THEN 'i.' ELSE 'MCMXCIV.' END"
 dual("list_markers", "lineitem", lambda d: [KEY | {"w": WORDS}, KEY | {"w": "w", "kind": X.marker_kind("w", d)}, KEY | {"kind": "kind", "value": f"CASE WHEN kind = 'roman' THEN cast({X.roman_value('w', d)} AS INT) END"}])

@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+from folium import plans
 from folium.plans import documents as D
 from folium.plans import more as M
 from folium.sources import files
@@ -58,3 +59,14 @@ def test_tables_of_many_cells():
     wide = "<table>" + ("<tr>" + "<td>x</td>" * 70 + "</tr>") * 400 + "<tr><td>last</td></tr></table>"
     cells = list(files.html_tables(wide))
     assert len(cells) == 63 * 400 + 1 and cells[-1] == (0, 400, 0, 1, 1, False, "last")
+
+
+def test_texts_are_taken_whole(spark, tmp_path):
+    texts = ["Page 12\nété 3 of 40\n xii ", '# a*b\n1. c\n> d\né #', 'one\r\ntwo "x"', "plain", "-" * 20_000 + "\nx\n. . . . . . . . . . .\ny", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {q: [r[1] for r in plans.queries()[q](spark, str(tmp_path)).orderBy("doc_id").collect()] for q in ("signature_lines", "markdown_lines", "csv_texts", "leader_lines")}
+    assert got["signature_lines"][0] == "page #\nété # of #\n#"
+    assert got["markdown_lines"][1] == "\\# a\\*b\n1\\. c\n\\> d\né #"
+    assert got["csv_texts"][2:4] == ['"one\r\ntwo ""x"""', "plain"]
+    assert [len(x) for x in got["leader_lines"][:4]] == [3, 4, 2, 1] and got["leader_lines"][4] == "1010"  # eight dots are too few
+    assert all(x[5] is None for x in got.values())
