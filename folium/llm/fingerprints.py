@@ -6,6 +6,9 @@ Everything is built from array functions on the row: least values over 2, 4, 8 n
 shuffle of k-grams. A hash keeps its upper 40 bits; the position sits below it in 23 bits, counted from the right, so that
 the least number is the rightmost of equal hashes (positions wrap after 8 million words, which only moves ties).
 
+Rows are in the order of their ids, those without an id first, equal ids and missing ones by their texts; after the last row
+comes the first. Rows without an id are one stretch, so one task has all of them.
+
 Defined cases: null text = empty; a text without words has no fingerprint entries, likeness of two such texts is 1; a text
 of fewer than K words has one k-gram, all its words; fewer k-grams than WINDOW make one window. Repeated rows each give a
 row. Other columns are ignored.
@@ -77,10 +80,10 @@ def digest(kept: Column) -> Column:
 
 
 def in_order(docs: DataFrame, id_col: str, n: int) -> tuple[DataFrame, int]:
-    """docs with `band`, a stretch of ids: bands are of equal width, so neighbouring ids meet in a band or its next."""
+    """docs with `band`, a stretch of ids: bands are of equal width, so neighbouring ids meet in a band or its next. Null ids are band -1."""
     lo, hi = docs.agg(F.min(id_col), F.max(id_col)).first()
     width = 1 if lo is None else (hi - lo) // n + 1
-    return docs.withColumn("band", F.floor((F.col(id_col) - F.lit(lo or 0)) / F.lit(width)).cast("long")), n
+    return docs.withColumn("band", F.coalesce(F.floor((F.col(id_col) - F.lit(lo or 0)) / F.lit(width)).cast("long"), F.lit(-1))), n
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
