@@ -6,16 +6,23 @@ Everything is built from array functions on the row: least values over 2, 4, 8 n
 shuffle of k-grams. A hash keeps its upper 40 bits; the position sits below it in 23 bits, counted from the right, so that
 the least number is the rightmost of equal hashes (positions wrap after 8 million words, which only moves ties).
 
-Rows are in the order of their ids, those without an id first, equal ids and missing ones by their texts; after the last row
-comes the first. Rows without an id are one stretch, so one task has all of them.
+Rows are in the order of their ids, those without an id first; equal and missing ids are ordered by the hash of their texts.
+After the last row comes the first. For the neighbours, texts move once, into bands: stretches of this order with about equal
+numbers of bytes, whose bounds are rows of a sample. A bound also goes, as a mark, to the end of the band before its own, so
+every row finds the next one in its band. Outlying ids, ids that many rows share and missing ids are split like others; only
+rows equal in both id and text stay together.
 
 Defined cases: null text = empty; a text without words has no fingerprint entries, likeness of two such texts is 1; a text
-of fewer than K words has one k-gram, all its words; fewer k-grams than WINDOW make one window. Repeated rows each give a
-row. Other columns are ignored.
+of fewer than K words has one k-gram, all its words; fewer k-grams than WINDOW make one window; the one row of a table follows
+itself; an empty table gives no rows; a very long text is one row like others, of any number of words. Repeated rows each
+give a row. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +31,11 @@ from folium.session import parallelism
 K = 5
 WINDOW = 8
 POSITION_BITS = 23
+#: Bytes of text in a band, bands that a task takes on average, rows sampled for each band, and bands at most (a bound is 40 bytes or so, in the plan).
+BAND_BYTES = 8_000_000
+BANDS_A_TASK = 4
+SAMPLED = 16
+MOST_BANDS = 1 << 18
 WORD_GAP = r"[\x09-\x0D\x20]+"
 
 
@@ -79,35 +91,50 @@ def digest(kept: Column) -> Column:
     return F.sha2(F.array_join(kept.cast("array<string>"), ","), 256)
 
 
-def in_order(docs: DataFrame, id_col: str, n: int) -> tuple[DataFrame, int]:
-    """docs with `band`, a stretch of ids: bands are of equal width, so neighbouring ids meet in a band or its next. Null ids are band -1."""
-    lo, hi = docs.agg(F.min(id_col), F.max(id_col)).first()
-    width = 1 if lo is None else (hi - lo) // n + 1
-    return docs.withColumn("band", F.coalesce(F.floor((F.col(id_col) - F.lit(lo or 0)) / F.lit(width)).cast("long"), F.lit(-1))), n
+def _place(df: DataFrame) -> Column:
+    return F.struct("doc_id", "mix")
+
+
+def _bounds(df: DataFrame, tasks: int) -> list[tuple[int | None, int]]:
+    """The first place of every band: rows of a sample of some SAMPLED for each band, chosen so that bands hold like numbers of bytes; first the least row's."""
+    least, rows, size = df.agg(F.min(_place(df)), F.count(F.lit(1)), F.sum("size")).first()
+    if not rows:
+        return []
+    bands = max(1, min(MOST_BANDS, max(4 * tasks, size // BAND_BYTES)))
+    sampled = df.where(F.pmod(F.xxhash64("doc_id", "mix", F.lit(1)), F.lit(max(1, rows // (bands * SAMPLED)))) == 0)
+    places = sorted(((r.doc_id is not None, r.doc_id or 0, r.mix, r.size) for r in sampled.select("doc_id", "mix", "size").collect()))
+    step, upto, out = -(-sum(p[3] for p in places) // bands), 0, [(least[0], least[1])]
+    for named, doc_id, mix, n in places:
+        if upto >= step * len(out) and (doc_id if named else None, mix) != out[-1]:
+            out.append((doc_id if named else None, mix))
+        upto += n
+    return out
+
+
+def in_bands(df: DataFrame, bounds: list[tuple[int | None, int]]) -> DataFrame:
+    """df (doc_id, mix) with `band`, the last bound that is not beyond the row, and `mark`: bounds stand a second time, as marks, in the band before."""
+    kind = "array<struct<doc_id:bigint,mix:bigint>>"
+    given = lambda rows: F.from_json(F.lit(json.dumps([{"doc_id": i, "mix": m} for i, m in rows])), kind)
+    wide = max(1, math.isqrt(len(bounds)))
+    upto = lambda bs, place: F.size(F.filter(bs, lambda b: b <= place))
+    df = df.withColumn("place__", _place(df)).withColumn("coarse__", upto(given(bounds[::wide]), F.col("place__")) - 1)
+    df = df.withColumn("band__", F.col("coarse__") * wide + upto(F.slice(given(bounds), F.col("coarse__") * wide + 1, F.lit(wide)), F.col("place__")) - 1)
+    first = F.element_at(given(bounds), F.col("band__") + 1) == F.col("place__")
+    own = F.struct(F.col("band__").alias("band"), F.lit(False).alias("mark"))
+    before = F.struct(F.pmod(F.col("band__") - 1, F.lit(len(bounds))).alias("band"), F.lit(True).alias("mark"))
+    return df.withColumn("to__", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own)))).withColumns({"band": F.col("to__.band"), "mark": F.col("to__.mark")}).drop("place__", "coarse__", "band__", "to__")
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited text, whose last quarter is the start of the next document.
-
-    Texts move once, to the task of their stretch of ids; within it the next row is a neighbour. The first row of every
-    stretch, at most four for each shuffle partition, is sent to the stretch before it.
-    """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """Fingerprints of each text and of its edited text, whose last quarter is the start of the next document."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("mix", F.xxhash64("text"))
     n = parallelism(docs.sparkSession)
-    base, _ = in_order(base, "doc_id", 4 * n)
-    base = base.repartition(n, "band").sortWithinPartitions("band", "doc_id", "text")
+    bounds = _bounds(base.select("doc_id", "mix", (F.octet_length("text") + 64).cast("long").alias("size")), n)
+    base = in_bands(base, bounds) if bounds else base.withColumns({"band": F.lit(0), "mark": F.lit(False)})
+    base = base.repartition(max(n, len(bounds) // BANDS_A_TASK), "band").sortWithinPartitions("band", "mark", "doc_id", "mix", "text")
     base = winnow(base, "text", "kept").withColumn("set", hashes(F.col("kept")))
-    step = Window.partitionBy("band").orderBy("doc_id", "text")
-    base = base.withColumn("next", F.lead(F.struct("text", "set")).over(step))
-
-    # the first row of each band; for the last row of a band, the next band's first follows, and after the last band the first's
-    source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    source, _ = in_order(source, "doc_id", 4 * n)
-    first = source.groupBy("band").agg(F.min_by("text", F.struct("doc_id", "text")).alias("text"))
-    ring = Window.orderBy("band")
-    first = winnow(first, "text", "kept").select("band", F.struct("text", hashes(F.col("kept")).alias("set")).alias("head"))
-    first = first.withColumn("after", F.coalesce(F.lead("head").over(ring), F.first("head").over(ring))).select("band", "after")
-    base = base.join(F.broadcast(first), "band").withColumn("next", F.coalesce("next", "after")).drop("after")
+    step = Window.partitionBy("band").orderBy("mark", "doc_id", "mix", "text")
+    base = base.withColumn("next", F.lead(F.struct("text", "set")).over(step)).where(~F.col("mark"))
 
     base = base.withColumn("n_chars", F.char_length("text").cast("long"))
     base = base.withColumn("q", F.floor(F.col("n_chars") / 4).cast("int"))
