@@ -7,32 +7,41 @@ of at least T / (5 - T) or so between item and window. HASHES least values are k
 has one in common with an item makes the document a candidate for it. Least values of a class come from those of the class
 below. Candidates are verified by the exact share of the item's runs, as words, that the document holds.
 
-The items are the query set: they are held by every task in blocks of at most BLOCK_BYTES of text, and every block sees all
-documents. Documents are neither moved nor collected.
+The items are the query set: they are held by every task in blocks whose index takes at most BLOCK_BYTES, and every block
+sees all documents. With several blocks, the matches of one are written to the shared folder and its index is let go before
+the next is built, so that driver and workers hold one at a time. Documents are neither moved nor collected.
 
 Words are lower-cased runs of letters and digits (all characters beyond ASCII count as letters). Defined cases: null or
 empty text and items without words match nothing; an item of fewer than SHINGLE words is one run of all of them; repeated
-items are reported each; repeated documents each give a row; without items no document is contaminated; other columns are
-ignored.
+items are reported each; an item without an id counts like others and is a null in `items`, after the ids; rows without a
+doc_id are searched like others; repeated documents each give a row; without items no document is contaminated, and an empty
+table of documents gives none; very long texts and items are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.llm import hashing as H
-from folium.llm.arrow import mapped, over
+from folium.llm.arrow import over, pieces
+from folium.session import cut, forget
 
 SHINGLE = 5
 THRESHOLD = 0.8
 HASHES = 64
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 32_000_000
+#: What an item takes in the index beside three times its text: HASHES least values of 8 bytes with an item number of 4, and the item itself.
+ITEM_BYTES = 300
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 FILTER = 1 << 16
 
@@ -50,7 +59,7 @@ def exact_runs(text: str, k: int) -> set[bytes]:
 class Index:
     """Items of one block: for each run length the classes, and for each class and hash the least values."""
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int = SHINGLE, hashes: int = HASHES) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], shingle: int = SHINGLE, hashes: int = HASHES) -> None:
         self.a = _multipliers(hashes)
         self.ids, self.texts, self.run = [], [], []
         #: run length -> class size -> per hash (sorted least values, items)
@@ -70,10 +79,10 @@ class Index:
         for k, sizes in grouped.items():
             self.classes[k] = {}
             for size, found in sizes.items():
-                index, least = np.array([i for i, _ in found]), np.array([m for _, m in found])
+                index, least = np.array([i for i, _ in found], np.int32), np.array([m for _, m in found])
                 order = np.argsort(least, axis=0)
-                seen = np.zeros((hashes, FILTER), bool)
-                seen[np.arange(hashes), (least & H.U(FILTER - 1)).astype(np.int64)] = True
+                seen = np.zeros((hashes, min(FILTER, 1 << (8 * len(found)).bit_length())), bool)
+                seen[np.arange(hashes), (least & H.U(seen.shape[1] - 1)).astype(np.int64)] = True
                 self.classes[k][size] = [(np.ascontiguousarray(least[order[:, j], j]), index[order[:, j]], seen[j]) for j in range(hashes)]
 
     def candidates(self, texts: list[str]) -> set[tuple[int, int]]:
@@ -108,7 +117,7 @@ class Index:
                 pair = owner[1:] == owner[:-1]
                 window[:-1][pair] = np.minimum(least[:-1], least[1:])[pair]
                 values, items, seen = sizes[want][j]
-                for i in np.flatnonzero(seen[(window & H.U(FILTER - 1)).astype(np.int64)]).tolist():
+                for i in np.flatnonzero(seen[(window & H.U(len(seen) - 1)).astype(np.int64)]).tolist():
                     lo, hi = np.searchsorted(values, window[i], "left"), np.searchsorted(values, window[i], "right")
                     out.update((int(owner[i]), int(x)) for x in items[lo:hi])
 
@@ -131,48 +140,66 @@ class Index:
         return out
 
 
+def _blocks(benchmark: DataFrame, hashes: int, block_bytes: int) -> Iterator[tuple[int, list[tuple[int | None, str]]]]:
+    """The number of blocks and the items of one after another, each of about block_bytes of index."""
+    total, rows = benchmark.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    n = -(-(3 * (total or 0) + rows * (ITEM_BYTES + 12 * hashes)) // block_bytes) or 1
+    for b in range(n):
+        own = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
+        yield n, [(r.item_id, r.text) for r in own.orderBy("item_id", "text").select("item_id", "text").collect()]
+
+
+def _matches(docs: DataFrame, held: Broadcast, id_col: str, text_col: str, threshold: float, every: bool) -> DataFrame:
+    """doc_id, mark (tells texts apart), items, containment of the rows that hold an item, or of every row, then without marks."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.string()), ("items", pa.list_(pa.int64())), ("containment", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            texts, out = [t or "" for t in piece.column("text").to_pylist()], []
+            for i, t, found in zip(piece.column("doc_id").to_pylist(), texts, held.value.search(texts, threshold)):
+                if found or every:
+                    out.append((i, None if every else hashlib.md5(t.encode()).hexdigest(), [x for x, _ in found], max((c for _, c in found), default=0.0)))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return over(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, mark string, items array<long>, containment double")
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, hashes: int = HASHES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, contaminated, n_items, items (ids ascending) and containment (of the best) for every row."""
-    spark = docs.sparkSession
-    schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("items", pa.list_(pa.int64())), ("containment", pa.float64())])
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = -(-total // block_bytes) or 1
-    block = F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    parts = []
-    for b in range(n_blocks):
-        items = [(r.item_id, r.text) for r in benchmark.where((block == b) & F.col("item_id").isNotNull()).orderBy("item_id", "text").select("item_id", "text").collect()]
-        held = spark.sparkContext.broadcast(Index(items, shingle, hashes))  # block_bytes of text at most
-
-        def work(batch: pa.RecordBatch, held=held) -> dict:
-            found = held.value.search([t or "" for t in batch.column("text").to_pylist()], threshold)
-            return {"doc_id": batch.column(0), "row": batch.column(1), "items": [[i for i, _ in f] for f in found], "containment": [max((c for _, c in f), default=0.0) for f in found]}
-
-        parts.append(over(rows, mapped(work, schema), "doc_id long, row long, items array<long>, containment double"))
-    out = parts[0]
-    if len(parts) > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        out = out.groupBy("doc_id", "row").agg(F.flatten(F.collect_list("items")).alias("items"), F.max("containment").alias("containment"))
-    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), F.array_sort("items").alias("items"), "containment")
+    """doc_id, contaminated, n_items, items (ids ascending, nulls last) and containment (of the best) for every row."""
+    out, parts = None, []
+    for n, items in _blocks(benchmark, hashes, block_bytes):
+        held = docs.sparkSession.sparkContext.broadcast(Index(items, shingle, hashes))  # block_bytes or so
+        some = _matches(docs, held, id_col, text_col, threshold, n == 1)
+        if n == 1:
+            out = some
+        else:
+            parts.append(cut(some).dropDuplicates(["doc_id", "mark"]))
+            held.destroy()
+    if out is None:
+        found = functools.reduce(DataFrame.unionByName, parts).groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("items")).alias("items"), F.max("containment").alias("containment"))
+        found = found.withColumnsRenamed({"doc_id": "found_id", "mark": "found_mark"})
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"))
+        out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("mark") == F.col("found_mark")), "left")
+    found = F.coalesce("items", F.array().cast("array<long>"))
+    return out.select("doc_id", (F.size(found) > 0).alias("contaminated"), F.size(found).cast("long").alias("n_items"), F.array_sort(found).alias("items"), F.coalesce("containment", F.lit(0.0)).alias("containment"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, all columns, that hold no item; a block of items after another."""
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = -(-total // block_bytes) or 1
-    block = F.pmod(F.xxhash64("item_id"), F.lit(n_blocks))
-    out = docs
-    for b in range(n_blocks):
-        items = [(r.item_id, r.text) for r in benchmark.where((block == b) & F.col("item_id").isNotNull()).select("item_id", "text").collect()]
+    """The rows of docs, all columns, that hold no item; a block of items after another, and what is left between two lies in the shared folder."""
+    out, found = docs, None
+    for n, items in _blocks(benchmark, HASHES, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(Index(items))
 
         def run(batches, held=held):
-            from folium.llm.arrow import pieces
-
             for piece in pieces(batches, text_col):
                 clean = [not f for f in held.value.search([t or "" for t in piece.column(text_col).to_pylist()], threshold)]
                 yield piece.filter(pa.array(clean, pa.bool_()))
 
         out = over(out, run, docs.schema)
+        if n > 1:
+            was, out = found, cut(out)
+            held.destroy()
+            if was is not None:
+                forget(was)
+            found = out
     return out

@@ -52,7 +52,7 @@ def test_against_brute_force(spark, frame):
     bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, extra string")
     want = brute(docs, items)
     assert sum(w[1] for w in want) > 40
-    for size in (D.BLOCK_BYTES, 3000):  # one block, several blocks
+    for size in (D.BLOCK_BYTES, 60_000):  # one block, several blocks
         got = [(r.doc_id, r.contaminated, r.n_items, r["items"], r.containment) for r in D.find_items(frame(docs), bench, block_bytes=size).collect()]
         assert sorted(got, key=str) == want
         kept = sorted(r.doc_id for r in D.drop_contaminated(frame(docs), bench, block_bytes=size).collect())
@@ -64,3 +64,27 @@ def test_empty(spark, frame):
     assert [r.contaminated for r in D.find_items(frame([(1, "a b c d e f")]), none).collect()] == [False]
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert D.find_items(frame([(1, "a")]).where("false"), some).count() == 0
+
+
+def test_rows_and_items_without_an_id(spark, frame):
+    _, items = case()
+    lost = " ".join(items[12][1].split()[::-1])
+    bench = spark.createDataFrame([*items[:60], (None, items[8][1]), (None, lost), (None, None)], "item_id long, text string")
+    docs = frame([(None, f"x y z {lost} q"), (1, lost), (None, None), (2, items[8][1]), (2, items[9][1]), (2, items[9][1])])
+    for size in (D.BLOCK_BYTES, 20_000):
+        got = sorted(((r.doc_id, r.n_items, r["items"]) for r in D.find_items(docs, bench, block_bytes=size).collect()), key=str)
+        same = [i for i, t in items[:60] if t == items[8][1]]
+        assert got == sorted([(None, 1, [None]), (1, 1, [None]), (None, 0, []), (2, len(same) + 1, [*same, None]), (2, 1, [9]), (2, 1, [9])], key=str)
+        assert sorted(r.text or "" for r in D.drop_contaminated(docs, bench, block_bytes=size).collect()) == [""]
+
+
+def test_the_index_is_as_large_as_its_blocks_allow():
+    import pickle
+    import random
+
+    rnd = random.Random(4)
+    words = [f"{rnd.randrange(16**6):x}" for _ in range(9000)]
+    for n in (4, 5, 40, 300):
+        items = [(i, " ".join(rnd.choices(words, k=n))) for i in range(3000)]
+        allowed = 3 * sum(len(t) for _, t in items) + len(items) * (D.ITEM_BYTES + 12 * D.HASHES)
+        assert len(pickle.dumps(D.Index(items))) < allowed + 64 * D.FILTER
