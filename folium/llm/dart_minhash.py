@@ -16,9 +16,14 @@ pivot leaves; a bucket whose rows are already in one class is finished. Further
 the rows outside the bucket's largest class, until none is left. Between rounds the weight is found that a row shares with no other row still in a bucket; it bounds what the
 row's similarity to any of them can be. So every pair of candidates is compared, connected, or ruled out by distance or weight.
 
+The nodes are the different texts, numbered in a written table; ids come in only at the end, so rows without an id and rows
+that share one are compared by their texts like others. Where a bucket, a pivot or a class has very many rows, look-ups by it
+are split over tasks (`_look_up`).
+
 Defined cases: null text: a class of its own; equal texts are one class, also without words; fewer than SHINGLE words: one
-run of all of them; repeated rows are in one class; rows that share a doc_id but not the text are compared by one of their
-texts; other columns are ignored.
+run of all of them; repeated rows are in one class; a class is named by its least doc_id, null if none of its rows has one;
+rows that share a doc_id but not the text may be in different classes; an empty table gives no rows; very long texts are taken
+whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,8 +44,10 @@ from folium.session import cut, forget
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, DEEP = 24, 5
-#: Rows of ids that may be broadcast, 8 bytes each.
-BROADCAST_IDS = 1_000_000
+#: Rows that may be broadcast, of 60 bytes at most each.
+BROADCAST_IDS = 500_000
+#: Rows of one value from which on a look-up by it may be split, and values at most for which that is so.
+SPLIT, HOT = 500, 5000
 STEP = H.U(0xD1B54A32D192ED03)
 
 
@@ -108,43 +115,64 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_key (equal for equal texts), n (weight), keys."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    """doc_id, text_key (equal for equal texts, null for null), n (weight), keys."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.binary()), ("n", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def work(batch: pa.RecordBatch) -> dict:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        ids, texts = batch.column(0), batch.column(1).to_pylist()
         owner, cells = elements([t or "" for t in texts], shingle)
         keys = band_keys(darts(owner, cells, len(texts), bands * rows), bands, rows).tolist()
         n = np.bincount(owner, minlength=len(texts)).tolist() if len(owner) else [0] * len(texts)
-        names = [f"null {i}" if t is None else hashlib.md5(t.encode()).hexdigest() for i, t in zip(ids, texts)]
+        names = [None if t is None else hashlib.md5(t.encode()).digest() for t in texts]
         return {"doc_id": ids, "text_key": names, "n": n, "keys": [k if m else [] for k, m in zip(keys, n)]}
 
-    return over(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), mapped(work, schema), "doc_id long, text_key string, n int, keys array<long>")
+    return over(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), mapped(work, schema), "doc_id long, text_key binary, n int, keys array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, cells) of the documents named in ids."""
-    schema = pa.schema([("id", pa.int64()), ("cells", pa.list_(pa.int32()))])
+def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, cells) of the nodes (id, text_key, doc_id): all cells of one row of documents each."""
+    schema = pa.schema([("id", pa.int64()), ("cells", pa.list_(pa.int64()))])
 
     def work(batch: pa.RecordBatch) -> dict:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         owner, cells = elements(texts, shingle)
         order = np.argsort(owner, kind="stable")
-        parts = np.split((cells[order] >> H.U(32)).astype(np.uint32).view(np.int32), np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]) if len(owner) else [[]] * len(texts)
-        return {"id": batch.column(0), "cells": [np.unique(p) for p in parts]}
+        parts = np.split(cells[order].view(np.int64), np.cumsum(np.bincount(owner, minlength=len(texts)))[:-1]) if len(owner) else [[]] * len(texts)
+        return {"id": batch.column("id"), "cells": [np.unique(p) for p in parts]}
+
+    if nodes.count() <= BROADCAST_IDS:
+        nodes = F.broadcast(nodes)
+    texts = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).withColumn("row_key", F.unhex(F.md5("text")))
+    some = texts.join(nodes, (F.col("row_key") == F.col("text_key")) & F.col("row_id").eqNullSafe(F.col("doc_id"))).select("id", "text")
+    return over(some, mapped(work, schema), "id long, cells array<long>").dropDuplicates(["id"])
+
 
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    some = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
-    return over(some, mapped(work, schema), "id long, cells array<int>").dropDuplicates(["id"])
+def _look_up(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
+    """rows (a written table) joined with table by key.
+
+    Values that very many rows have are dealt to several tasks by hashes of `by`, with a copy of the value's own rows of
+    table in each. Which values these are is counted; at most HOT can be, so the list of them is broadcast.
+    """
+    n = rows.count()
+    if n <= 20 * SPLIT:
+        return rows.join(table, key)
+    limit = max(SPLIT, n // HOT)
+    hot = F.broadcast(rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows__")).where(F.col("rows__") > limit).select(key, F.ceil(F.col("rows__") / limit).cast("int").alias("parts__")))
+    parts = F.coalesce("parts__", F.lit(1))
+    dealt = rows.join(hot, key, "left").withColumn("salt__", F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts__")
+    copies = table.join(hot, key, "left").withColumn("salt__", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts__")
+    return dealt.join(copies, [key, "salt__"]).drop("salt__")
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ca, cb) with j, the weighted Jaccard similarity."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b")
+    """pairs (a, b, ca, cb), each once, with j, the weighted Jaccard similarity."""
+    pairs = cut(pairs)
+    left = cut(_look_up(pairs, sets.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a", "b"))
+    both = _look_up(left, sets.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b", "a")
     same = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", "ca", "cb", (same / (F.size("x") + F.size("y") - same)).alias("j"))
+    out = cut(both.select("a", "b", "ca", "cb", (same / (F.size("x") + F.size("y") - same)).alias("j")))
+    forget(pairs, left)
+    return out
 
 
 ROW = ["key", "id", "n", "match", "comp"]
@@ -156,8 +184,9 @@ def _unsettled(rows: DataFrame) -> DataFrame:
     Adds the sorted keys of every row's buckets and how many rows it meets in them.
     """
     buckets = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("mix")).where("lo <> hi")
-    crowded = cut(rows.join(buckets.groupBy("size", "mix").agg(F.min("key").alias("key")).select("key", "size"), "key").select(*ROW, "size"))
-    forget(rows)
+    chosen = cut(buckets.groupBy("size", "mix").agg(F.min("key").alias("key")).select("key", "size"))
+    crowded = cut(_look_up(rows, chosen, "key", "id").select(*ROW, "size"))
+    forget(rows, chosen)
     own = crowded.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.sum("size").alias("central"))  # two keys for each band at most
     out = cut(crowded.join(own, "id").select(*ROW, "keys", "central"))
     forget(crowded)
@@ -173,7 +202,7 @@ def _most(n: Column, match: Column, p: str) -> Column:
 def _odd(rows: DataFrame) -> DataFrame:
     """The rows that are not of their bucket's largest class: once these have been pivots, the bucket is settled."""
     counts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"))
-    return rows.join(counts, "key").where(F.col("comp") != F.col("most.comp"))
+    return _look_up(rows, counts, "key", "id").where(F.col("comp") != F.col("most.comp"))
 
 
 def _matchable(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -184,24 +213,30 @@ def _matchable(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return rows.where(F.col("match") >= threshold * F.col("n")).select(*ROW)
 
 
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = DEEP) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class) and copy_of (the least doc_id with the same text), for every row."""
+    found = _classified(docs, id_col, text_col, threshold, shingle, bands, rows)
+    return found.select("doc_id", "class_id", "copy_of")
+
+
+def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = DEEP) -> DataFrame:
+    """doc_id, class_id, copy_of, text_key and first, the text_key that stands for the class: its least one among those with class_id."""
     signed = cut(signatures(docs, id_col, text_col, shingle, bands, rows))
-    texts = signed.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    texts = signed.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    texts = cut(texts.withColumn("id", F.monotonically_increasing_id()))
     spread = texts.select(F.explode("keys").alias("key"), "id", F.col("n").cast("long").alias("n"), F.col("n").cast("long").alias("match"), F.col("id").alias("comp"))
     rows_in = _unsettled(cut(spread))
-    sets = cut(_sets(docs, rows_in.select("id").distinct(), id_col, text_col, shingle))
-    loose = 1 - 2 * (1 - threshold)
+    sets = cut(_sets(docs, texts.select("id", "text_key", "doc_id").join(rows_in.select("id").distinct(), "id"), id_col, text_col, shingle))
+    loose = 1 - 2 * (1 - threshold) - 1e-9  # a row at the very bound is put on both sides
     found, turn = [], 0
     while not rows_in.isEmpty():
         head = F.min(F.struct((-F.col("central")).alias("order"), "id", "n", "match", "comp", "keys")).alias("p")
         pivots = _odd(rows_in) if turn else rows_in
-        pivots = pivots.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(16**turn)).alias("slot")).agg(head).select(F.col("key").alias("k"), "p")
-        meet = (F.col("key") == F.col("k")) & (F.col("comp") != F.col("p.comp")) & (_most(F.col("n"), F.col("match"), "p") >= (threshold if turn else loose))
+        pivots = cut(pivots.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(16**turn)).alias("slot")).agg(head).select("key", "p"))
+        meet = (F.col("comp") != F.col("p.comp")) & (_most(F.col("n"), F.col("match"), "p") >= (threshold if turn else loose))
         if turn:  # a pair is compared in the first bucket that both are in
             meet = meet & (F.array_min(F.array_intersect("keys", "p.keys")) == F.col("key"))
-        faced = rows_in.join(pivots, meet)
+        faced = _look_up(rows_in, pivots, "key", "id").where(meet)
         first = F.col("id") < F.col("p.id")
         pairs = faced.select(
             F.least("id", "p.id").alias("a"),
@@ -209,40 +244,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.when(first, F.col("comp")).otherwise(F.col("p.comp")).alias("ca"),
             F.when(first, F.col("p.comp")).otherwise(F.col("comp")).alias("cb"),
         )
-        measured = cut(_measured(pairs.distinct(), sets))
+        measured = _measured(pairs.distinct(), sets)
         if turn == 0:  # one pivot in each bucket; a row that was not measured against it is far
             known = measured.select("a", "b", "j")
-            left = rows_in.join(pivots.select(F.col("k").alias("key"), F.col("p.id").alias("pivot")), "key").where(F.col("id") != F.col("pivot"))
+            left = _look_up(rows_in, pivots.select("key", F.col("p.id").alias("pivot")), "key", "id").where(F.col("id") != F.col("pivot"))
             left = left.withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot")).join(known, ["a", "b"], "left")
             sides = F.array_compact(F.array(F.when(F.col("j") >= loose, F.lit(0)), F.when(F.coalesce(F.col("j"), F.lit(0.0)) < threshold, F.lit(1))))
             left = left.withColumn("side", F.explode(sides)).withColumn("key", F.xxhash64("key", "side")).select(*ROW)
         else:
-            left = rows_in.join(pivots.select(F.col("k").alias("key"), F.col("p.id").alias("id")), ["key", "id"], "left_anti").select(*ROW)
+            left = rows_in.join(pivots.select("key", F.col("p.id").alias("id")), ["key", "id"], "left_anti").select(*ROW)
         links = measured.where(F.col("j") >= threshold)
         if not links.isEmpty():
             found.append(cut(links.select("a", "b")))
             moved = connected_components(links, "ca", "cb").withColumnsRenamed({"node": "comp", "root": "to"})
             left = left.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).select(*ROW)
         left = cut(_matchable(cut(left), sets, threshold))
-        forget(rows_in, measured)
+        forget(rows_in, measured, pivots)
         rows_in = _unsettled(left)
         turn += 1
     forget(rows_in, sets)
-    links = found[0] if found else signed.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).where("false")
+    links = found[0] if found else texts.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     for more in found[1:]:
         links = links.unionByName(more)
-    classes = connected_components(links, "a", "b").withColumnsRenamed({"node": "id", "root": "comp"})
-    named = signed.select("doc_id", "text_key").join(texts.select("text_key", "id"), "text_key")
-    return named.join(classes, "id", "left").select("doc_id", F.coalesce("comp", "id").alias("class_id"), F.col("id").alias("copy_of"))
+    linked = connected_components(links, "a", "b").withColumnsRenamed({"node": "id", "root": "comp"})
+    labelled = cut(texts.select("id", "text_key", "doc_id").join(linked, "id", "left"))
+    some = labelled.where("comp IS NOT NULL")
+    classes = some.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("least"))
+    named = _look_up(some, classes, "comp", "id").select("text_key", F.col("doc_id").alias("copy_of"), F.col("least.doc_id").alias("class_id"), F.col("least.text_key").alias("first"))
+    named = named.unionByName(labelled.where("comp IS NULL").select("text_key", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.col("text_key").alias("first")))
+    known = _look_up(signed.where("text_key IS NOT NULL").select("doc_id", "text_key"), named, "text_key", "doc_id").select("doc_id", "class_id", "copy_of", "text_key", "first")
+    alone = signed.where("text_key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), "text_key", F.col("text_key").alias("first"))
+    return known.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, of the least doc_id of every class; of repeated rows one."""
-    found = cut(near_duplicates(docs, id_col, text_col))
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias(id_col)).distinct()
+    """The rows of docs, all columns, that stand for their class: the row of least doc_id, of repeated rows one; of rows without an id one where none of the class has one.
+
+    Rows with null text all stay, but for repeated ids, of which one does.
+    """
+    found = cut(_classified(docs, id_col, text_col))
+    own = F.col("text_key").eqNullSafe(F.col("first")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    gone = found.where(~own).select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct()
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    kept = docs.join(gone, id_col, "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty():
-        return kept
-    return kept.where(F.col(id_col).isNull()).unionByName(kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]))
+    key = F.unhex(F.md5(F.col(text_col)))
+    kept = docs.withColumn("row_key__", key).join(gone, F.col(id_col).eqNullSafe(F.col("gone_id")) & F.col("row_key__").eqNullSafe(F.col("gone_key")), "left_anti")
+    twice = found.where(own & ~(F.col("doc_id").isNull() & F.col("text_key").isNull())).groupBy("doc_id", "text_key").count().where("count > 1")
+    if not twice.isEmpty():
+        whole = F.col(id_col).isNull() & F.col("row_key__").isNull()
+        kept = kept.where(whole).unionByName(kept.where(~whole).dropDuplicates([id_col, "row_key__"]))
+    return kept.select(*docs.columns)
