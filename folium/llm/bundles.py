@@ -1,10 +1,11 @@
 """Documents in bundles, and look-ups between bundles and parts.
 
-A bundle holds the documents whose id hashes to it, a few megabytes of text. Texts move to their bundles in one exchange,
+A bundle holds the documents whose id and text hash to it, a few megabytes of text; ids that many rows share are spread. Texts move to their bundles in one exchange,
 which all steps of a query share. A step looks at a whole bundle and sends what others must know of it to parts: a part
 holds the entries whose key hashes to it. An entry is sent once for each bundle, however many of its documents have it, so
 a passage that very many documents share costs a part one entry for each bundle and no more. A part answers each bundle
-separately. Numbers of bundles and parts grow with the bytes of text.
+separately. Numbers of bundles and parts grow with the bytes of text, up to BUNDLES bundles, which then grow themselves, so
+that a key of all bundles stays a few megabytes for its part.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from folium.session import parallelism
 
 BUNDLE_BYTES = 4_000_000
+#: Bundles at most while they are below LARGEST bytes each.
+BUNDLES, LARGEST = 1 << 18, 64_000_000
 PART_BYTES = 8_000_000
 #: Bundles or parts that a task takes at most, on average.
 A_TASK = 8
@@ -32,10 +35,11 @@ def bundled(docs: DataFrame, id_col: str, text_col: str, carry: bool = False) ->
     """(bundle, doc_id, text) dealt by bundle, and the number of parts. carry: with `rest`, all columns of a row but its text."""
     n = parallelism(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    bundles, parts = max(4 * n, total // BUNDLE_BYTES), max(n, total // PART_BYTES)
-    n = max(n, bundles // A_TASK)
+    size = min(LARGEST, max(BUNDLE_BYTES, total // BUNDLES))
+    bundles, parts = max(4 * n, total // size), max(n, total // PART_BYTES)
+    n = max(n, bundles * size // BUNDLE_BYTES // A_TASK)
     out = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(bundles)).alias("bundle"),
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(bundles)).alias("bundle"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
         *([F.struct(*[F.col(c) for c in docs.columns if c != text_col]).alias("rest")] if carry else []),

@@ -9,8 +9,9 @@ words is found. Step three removes, in every document, the words of windows that
 Windows are compared by 96 bits of hash over their words.
 
 Defined cases: null text = empty, no words; fewer than WINDOW words are never removed; rows with equal doc_id do not count
-as smaller than one another; rows whose doc_id is null come before all others; repeated rows each give a row; other columns
-are ignored. Bytes that are not white space are part of words, whatever their encoding.
+as smaller than one another; rows whose doc_id is null come before all others and count as one id, which the least long is
+too; repeated rows each give a row; very long texts are taken whole, in a bundle of their own size; an empty table gives no
+rows; other columns are ignored. Bytes that are not white space are part of words, whatever their encoding.
 """
 
 from __future__ import annotations
@@ -117,14 +118,14 @@ def _least_owner(table: pa.Table) -> pa.Table:
     return B.answers(out)
 
 
-def _told(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows, the least document of each, their other 32 bits, and whether these are to be compared."""
+def _told(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, the least document of each, their other 32 bits, whether these are to be compared, and whether the window goes whosever it is."""
     clash, n = payload[0], int.from_bytes(payload[1:9], "little")
     at = 9 + n * (12 if clash else 8)
     gone = B.unpack(payload[9:at], *(("<u8", "<u4") if clash else ("<u8",)))
     one, least, two = B.unpack(payload[at:], "<u8", "<i8", "<u4")
     first = gone[1] if clash else np.zeros(n, np.uint32)
-    return np.r_[gone[0], one], np.r_[np.full(n, LEAST), least], np.r_[first, two], np.r_[np.full(n, bool(clash)), np.ones(len(one), bool)]
+    return np.r_[gone[0], one], np.r_[np.full(n, LEAST), least], np.r_[first, two], np.r_[np.full(n, bool(clash)), np.ones(len(one), bool)], np.r_[np.ones(n, bool), np.zeros(len(one), bool)]
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
@@ -136,10 +137,10 @@ def _remove(digest: bool):
         if not len(table):
             return pa.Table.from_pydict(out, schema=OUT)
         got = [_told(p) for p in B.payloads(told)]
-        empty = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, bool))
-        one, low, two, strict = (np.concatenate([e, *(g[i] for g in got)]) for i, e in enumerate(empty))
+        empty = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, bool), np.empty(0, bool))
+        one, low, two, strict, sure = (np.concatenate([e, *(g[i] for g in got)]) for i, e in enumerate(empty))
         order = np.argsort(one, kind="stable")
-        one, low, two, strict = one[order], low[order], two[order], strict[order]
+        one, low, two, strict, sure = one[order], low[order], two[order], strict[order], sure[order]
         for ids, texts in B.sliced(*B.rows(table)):
             hashes, starts = H.words(texts, H.WHITE)
             gone = np.zeros(len(hashes), bool)
@@ -147,7 +148,7 @@ def _remove(digest: bool):
                 a, b = _windows(hashes)
                 hit, at = B.member(a, one)
                 owner = _ids(ids, starts)[: len(a)]
-                hit &= ((two[at] == b) | ~strict[at]) & ((low[at] < owner) | (low[at] == LEAST)) & H.within(starts, len(hashes), WINDOW)
+                hit &= ((two[at] == b) | ~strict[at]) & ((low[at] < owner) | sure[at]) & H.within(starts, len(hashes), WINDOW)
                 gone = H.covered(np.flatnonzero(hit), len(hashes), WINDOW)
             keep = (~gone).tolist()
             for i, text in enumerate(texts):

@@ -14,8 +14,11 @@ bytes. Here it runs over short aligned pieces instead, which makes the rounds fe
    if its piece occurs more than once. The parts' files are those of Spark's exchange.
 4. Every byte that a repeated window covers is removed.
 
+Equal pieces are told by 128 bits of hash over their bytes, different ones by the columns.
+
 Defined cases: null text = empty; texts below LENGTH bytes lose nothing; equal texts of at least LENGTH bytes lose
-everything; repeats inside one document count; repeated rows are two documents; other columns are ignored.
+everything; repeats inside one document count; repeated rows are two documents, whether they have an id, share one or have
+none; very long texts are taken whole, in a bundle of their own size; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -76,6 +79,16 @@ def _pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return buf, lo, hi, place[lo], grams[place[lo]], sums
 
 
+def _names(buf: np.ndarray, sums: H.Sums, lo: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Two hashes of each stretch of a slice's bytes, and both as one number."""
+    one, two = sums.of(lo, end), H.Sums(buf ^ np.uint8(0xA5)).of(lo, end)
+    return one, two, _joined(one, two)
+
+
+def _joined(one: np.ndarray, two: np.ndarray) -> list[int]:
+    return [a | b << 64 for a, b in zip(one.tolist(), two.tolist())]
+
+
 def _send_minimizers(parts: int):
     def work(table: pa.Table) -> pa.Table:
         keys = [np.empty(0, np.uint64)]
@@ -89,7 +102,7 @@ def _send_minimizers(parts: int):
     return work
 
 
-HEAD = np.dtype([("mini", "<u8"), ("body", "<u8"), ("off", "<u2"), ("windows", "<u2"), ("many", "u1")])
+HEAD = np.dtype([("mini", "<u8"), ("one", "<u8"), ("two", "<u8"), ("off", "<u2"), ("windows", "<u2"), ("many", "u1")])
 
 
 def _send_pieces(parts: int):
@@ -102,19 +115,21 @@ def _send_pieces(parts: int):
                     continue
                 buf, lo, hi, place, mini, sums = p
                 use = np.flatnonzero(B.member(mini, shared)[0])
-                body = sums.of(lo[use], hi[use] + LENGTH)
+                if not len(use):
+                    continue
+                one, two, names = _names(buf, sums, lo[use], hi[use] + LENGTH)
                 raw = buf.tobytes()
-                for m, c, a, b, q in zip(mini[use].tolist(), body.tolist(), lo[use].tolist(), hi[use].tolist(), place[use].tolist()):
+                for m, c, x, y, a, b, q in zip(mini[use].tolist(), names, one.tolist(), two.tolist(), lo[use].tolist(), hi[use].tolist(), place[use].tolist()):
                     if c in heads:
-                        heads[c][4] = 1
+                        heads[c][5] = 1
                     else:
-                        heads[c] = [m, c, q - a, b - a + 1, 0, raw[a : b + LENGTH]]
+                        heads[c] = [m, x, y, q - a, b - a + 1, 0, raw[a : b + LENGTH]]
         got = list(heads.values())
         keys = np.array([h[0] for h in got], np.uint64)
 
         def make(g: np.ndarray) -> bytes:
             mine = [got[i] for i in g.tolist()]
-            return len(mine).to_bytes(8, "little") + np.array([tuple(h[:5]) for h in mine], HEAD).tobytes() + b"".join(h[5] for h in mine)
+            return len(mine).to_bytes(8, "little") + np.array([tuple(h[:6]) for h in mine], HEAD).tobytes() + b"".join(h[6] for h in mine)
 
         return B.to_parts(B.first(table.column("bundle")) if len(table) else 0, keys, parts, make)
 
@@ -150,22 +165,22 @@ def columns(matrix: np.ndarray) -> np.ndarray:
 
 def _repeated(table: pa.Table) -> pa.Table:
     bundles, data = table.column("bundle").to_pylist(), table.column("payload").to_pylist()
-    seen: dict[int, list] = {}  # body -> [mini, off, windows, many, bytes]
+    seen: dict[int, list] = {}  # name -> [mini, off, windows, many, bytes]
     mine: list[list[int]] = []
     for payload in data:
         n = int.from_bytes(payload[:8], "little")
         heads = np.frombuffer(payload, HEAD, n, 8)
         at = 8 + n * HEAD.itemsize
-        own = heads["body"].tolist()
+        own = _joined(heads["one"], heads["two"])
         mine.append(own)
         for h, c in zip(heads.tolist(), own):
-            size = h[3] + LENGTH - 1
+            size = h[4] + LENGTH - 1
             if c in seen:
                 seen[c][3] = 1
             else:
-                seen[c] = [h[0], h[2], h[3], h[4], payload[at : at + size]]
+                seen[c] = [h[0], h[3], h[4], h[5], payload[at : at + size]]
             at += size
-    found: dict[int, bytes] = {}  # body -> windows that are repeated, a bit for each
+    found: dict[int, bytes] = {}  # name -> windows that are repeated, a bit for each
     groups: dict[int, list[int]] = {}
     for c, v in seen.items():
         groups.setdefault(v[0], []).append(c)
@@ -194,7 +209,7 @@ def _repeated(table: pa.Table) -> pa.Table:
         hit = [c for c in own if c in found]
         if hit:
             width = max(len(found[c]) for c in hit)
-            out.append((b, len(hit).to_bytes(8, "little") + np.array(hit, np.uint64).tobytes() + b"".join(found[c].ljust(width, b"\0") for c in hit)))
+            out.append((b, len(hit).to_bytes(8, "little") + b"".join(c.to_bytes(16, "little") for c in hit) + b"".join(found[c].ljust(width, b"\0") for c in hit)))
     return B.answers(out)
 
 
@@ -215,25 +230,27 @@ def _remove(digest: bool, whole: bool = False, rest: pa.DataType | None = None):
         if not len(table):
             return schema.empty_table()
         bits: dict[int, bytes] = {}
+        firsts = [np.empty(0, np.uint64)]
         for p in B.payloads(told):
             n = int.from_bytes(p[:8], "little")
-            keys = np.frombuffer(p, "<u8", n, 8).tolist()
-            flags, width = p[8 + 8 * n :], (len(p) - 8 - 8 * n) // n
-            for i, c in enumerate(keys):
+            keys = np.frombuffer(p, "<u8", 2 * n, 8)
+            flags, width = p[8 + 16 * n :], (len(p) - 8 - 16 * n) // n
+            firsts.append(keys[::2])
+            for i, c in enumerate(_joined(keys[::2], keys[1::2])):
                 bits[c] = flags[i * width : (i + 1) * width]
-        known = np.sort(np.array(list(bits), np.uint64))
+        known = np.unique(np.concatenate(firsts))
         for ids, texts in B.sliced(*B.rows(table)):
             total = sum(map(len, texts))
             gone = np.zeros(total, bool)
             p = _pieces(texts) if len(known) else None
             if p is not None:
                 _, lo, hi, _, _, sums = p
-                body = sums.of(lo, hi + LENGTH)
-                starts = []
-                for i in np.flatnonzero(B.member(body, known)[0]).tolist():
-                    windows = int(hi[i] - lo[i]) + 1
-                    flags = np.unpackbits(np.frombuffer(bits[int(body[i])], np.uint8), count=windows)
-                    starts.append(np.flatnonzero(flags) + lo[i])
+                use, starts = np.flatnonzero(B.member(sums.of(lo, hi + LENGTH), known)[0]), []
+                names = _names(p[0], sums, lo[use], hi[use] + LENGTH)[2] if len(use) else []
+                for i, c in zip(use.tolist(), names):
+                    if c in bits:
+                        flags = np.unpackbits(np.frombuffer(bits[c], np.uint8), count=int(hi[i] - lo[i]) + 1)
+                        starts.append(np.flatnonzero(flags) + lo[i])
                 if starts:
                     gone = H.covered(np.concatenate(starts), total, LENGTH)
             at = 0

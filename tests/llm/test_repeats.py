@@ -10,20 +10,21 @@ from folium.llm import substring_dedup, suffix_dedup
 
 def brute_words(rows, n=13):
     texts = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    place = lambda i: -(1 << 63) if i is None else i
     least = {}
     for i, w in texts:
         for a in range(len(w) - n + 1):
             k = tuple(w[a : a + n])
-            least[k] = min(least.get(k, i), i)
+            least[k] = min(least.get(k, place(i)), place(i))
     out = []
     for i, w in texts:
         gone = [False] * len(w)
         for a in range(len(w) - n + 1):
-            if least[tuple(w[a : a + n])] < i:
+            if least[tuple(w[a : a + n])] < place(i):
                 gone[a : a + n] = [True] * n
         kept = " ".join(x for x, g in zip(w, gone) if not g)
         out.append((i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 def brute_bytes(rows, n=200):
@@ -38,7 +39,7 @@ def brute_bytes(rows, n=200):
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = int(np.count_nonzero(np.diff(gone.astype(int), prepend=0) == 1))
         out.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 def documents(seed=3):
@@ -60,13 +61,54 @@ def documents(seed=3):
 def test_words(frame):
     rows = documents()
     got = substring_dedup.remove_repeats(frame(rows), digest=True).selectExpr("doc_id", "n_words", "n_removed", "cast(kept as string)")
-    assert sorted(map(tuple, got.collect())) == brute_words(rows)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_words(rows)
 
 
 def test_bytes(frame):
     rows = documents(4)
     got = suffix_dedup.remove_repeats(frame(rows), digest=True).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "cast(kept as string)")
-    assert sorted(map(tuple, got.collect())) == brute_bytes(rows)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_bytes(rows)
+
+
+def unnamed(seed):
+    """Rows of which a third has no id and a third the same one, with ids at both ends of a long."""
+    rnd = random.Random(seed)
+    rows = [(rnd.choice([i, None, 7]), t) for i, t in documents(seed)]
+    text = next(t for _, t in rows if t and len(t) > 900)
+    return [*rows, (None, text), (None, text[20:]), ((1 << 63) - 1, text), (-(1 << 63), "before " + text), (None, None), (8, "only here " * 40), (None, "nowhere else " * 40)]
+
+
+def test_missing_and_shared_ids(frame):
+    rows = unnamed(6)
+    got = substring_dedup.remove_repeats(frame(rows), digest=True).selectExpr("doc_id", "n_words", "n_removed", "cast(kept as string)")
+    assert sorted(map(tuple, got.collect()), key=str) == brute_words(rows)
+    got = suffix_dedup.remove_repeats(frame(rows), digest=True).selectExpr("doc_id", "n_bytes", "n_removed", "n_spans", "cast(kept as string)")
+    assert sorted(map(tuple, got.collect()), key=str) == brute_bytes(rows)
+    lost = [(None, t) for _, t in rows]
+    got = substring_dedup.remove_repeats(frame(lost), digest=True).selectExpr("doc_id", "n_words", "n_removed", "cast(kept as string)")
+    assert sorted(map(tuple, got.collect()), key=str) == brute_words(lost)
+
+
+def test_very_long_texts(frame):
+    rnd = random.Random(12)
+    words = lambda n: " ".join(f"{rnd.randrange(16**5):x}" for _ in range(n))
+    a, shared = words(120_000), words(60)
+    rows = [(2, a + " " + shared), (3, shared + " " + a[:500_000]), (1, words(30) + " " + shared)]
+    removed = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(frame(rows)).collect()}
+    inside = len(a[:500_000].split()) - (a[500_000] != " ")  # the last word is cut
+    assert removed[1][1] == 0 and removed[2] == (120_060, 60) and removed[3][1] in (60 + inside, 61 + inside)
+    kept = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(frame(rows)).collect()}
+    whole = {i: t.encode() for i, t in rows}
+    grams = Counter()
+    for t in whole.values():
+        grams.update({hash(t[i : i + 200]) for i in range(len(t) - 199)})
+    for i, t in whole.items():
+        gone = np.zeros(len(t) + 1, int)
+        for j in range(len(t) - 199):
+            if grams[hash(t[j : j + 200])] > 1:
+                gone[j] += 1
+                gone[j + 200] -= 1
+        assert kept[i] == np.frombuffer(t, np.uint8)[np.cumsum(gone[:-1]) == 0].tobytes()
 
 
 def test_kept_texts_and_empty_tables(frame):
