@@ -1,20 +1,25 @@
 """Exact token counts by dynamic programming over prefixes.
 
 The tokenizer drops white space, lower-cases and merges inside words only, so the count of a prefix that ends between two
-words is the count of the one before plus that of a word: `prefix_counts` keeps these sums for every word end. Inside a
-word, `word_prefix_counts` finds for every prefix its last token, the one that is compatible with the last token of what
-stands before it; counts of all prefixes of a word come from one pass. Budget and truncation questions are look-ups then.
-
-Word counts are kept in a table of bounded size for each Python worker. Texts with characters on which Unicode tables of
-different libraries might disagree, and texts with the tokenizer's special strings, are given to the library whole.
-
-Defined cases: null text = empty, 0 bytes and 0 tokens; white space has no tokens; repeated rows each give a row; other
-columns are ignored.
+words is the count of the one before plus that of a word. Inside a word, one pass finds for every prefix its last token: of
+the tokens that end there the only one which stays apart from the last token of what stands before it (two tokens stay
+apart if merging the letters of both gives the two again). `word_counts` stores the count of every prefix of a word,
+`prefix_counts` the sums at the words' ends, `positions` the sums of a whole text; totals, budgets and truncation are
+look-ups in them, and nothing is encoded a second time.
+
+Words of a text come from a pattern where its characters are ones on which Unicode tables of libraries agree; elsewhere,
+and around the tokenizer's special strings, the library's own normaliser and splitter give them. Counts are from the same
+pass in both cases. Word counts are kept in a table of bounded size for each Python worker.
+
+Defined cases: null text = empty, 0 bytes and 0 tokens; white space has no tokens; a special string is one token; repeated
+rows each give a row, as do rows without an id; very long texts and words are taken whole; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import unicodedata
 from functools import lru_cache
@@ -29,10 +34,14 @@ from tokenizers import Tokenizer
 from folium.llm.arrow import mapped, over
 
 LIMIT = 2048
-TABLE_WORDS = 400_000
+TABLE_WORDS = 600_000
+TABLE_PAIRS = 400_000
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 UNSURE = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
+#: Words that are their own byte letters.
+PLAIN = regex.compile(r"[!-~]+")
 END = "</w>"
+NEVER = 1 << 60
 
 
 @lru_cache(maxsize=2)
@@ -50,13 +59,88 @@ class Counter:
     def __init__(self, path: str, table_words: int = TABLE_WORDS) -> None:
         self.lib = load(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(json.loads(self.lib.to_str())["model"]["merges"])}
+        found = self.lib.get_vocab(with_added_tokens=False)
+        self.longest = max(len(_letters(t)) for t in found)
+        #: Tokens that merging their own letters gives.
+        self.tokens = {t for t in found if len(_letters(t)) == 1 or merge(_letters(t), self.ranks) == [t]}
+        self.parts = {a + b: (a, b) for a, b in self.ranks}
+        self.edges: tuple[dict, dict] = ({}, {})
+        self.pairs: dict[tuple[str, str], bool] = {}
         self.table: dict[str, int] = {}
         self.table_words = table_words
-        self._tokens: dict[str, int] | None = None
-        self._pairs: dict[tuple[str, str], bool] = {}
+
+    # inside a word
+
+    def _edge(self, piece: str, side: int) -> list[tuple[str, int]]:
+        """The pieces that stand at the right (1) or left (0) edge of a token while its letters are merged, each with the rank at which it becomes the next."""
+        found = self.edges[side].get(piece)
+        if found is None:
+            part = self.parts.get(piece)
+            if part is None:
+                found = [(piece, NEVER)]
+            else:
+                inner = self._edge(part[side], side)
+                found = [*inner[:-1], (part[side], self.ranks[part]), (piece, NEVER)]
+            self.edges[side][piece] = found
+        return found
+
+    def _fits(self, a: str, b: str) -> bool:
+        """Whether a and b stay apart when their letters are merged: no pair over the border is ever next, of equal ranks the leftmost being first."""
+        got = self.pairs.get((a, b))
+        if got is None:
+            if len(self.pairs) > TABLE_PAIRS:
+                self.pairs.clear()
+            xs, ys, i, j = self._edge(a, 1), self._edge(b, 0), 0, 0
+            while True:
+                (x, grow_x), (y, grow_y) = xs[i], ys[j]
+                rank = self.ranks.get((x, y), NEVER)
+                if rank < grow_x and rank <= grow_y:
+                    got = False
+                elif grow_x == grow_y == NEVER:
+                    got = True
+                elif grow_x <= grow_y:
+                    i += 1
+                    continue
+                else:
+                    j += 1
+                    continue
+                break
+            self.pairs[a, b] = got
+        return got
+
+    def _ended(self, word: str, i: int, last: list[str], count: list[int]) -> int:
+        """The count of word[:i] taken as a word, from the last tokens and counts of shorter prefixes."""
+        for j in range(max(0, i - self.longest), i):
+            if (p := word[j:i] + END) in self.tokens and (not j or self._fits(last[j], p)):
+                return count[j] + 1
+        raise ValueError(f"no token ends {word[:i]!r}")
+
+    def prefixes(self, word: str) -> tuple[list[str], list[int]]:
+        """For a word of byte letters: the last token and the token count of each prefix that goes on, from length 0 on."""
+        tokens, fits, last, count = self.tokens, self._fits, [""], [0]
+        for i in range(1, len(word)):
+            for j in range(max(0, i - self.longest), i):
+                piece = word[j:i]
+                if piece in tokens and (not j or fits(last[j], piece)):
+                    last.append(piece)
+                    count.append(count[j] + 1)
+                    break
+        return last, count
+
+    def word_counts(self, word: str) -> list[int]:
+        """For a word of byte letters: the token count of each prefix taken as a word, from length 1 on."""
+        last, count = self.prefixes(word)
+        return [self._ended(word, i, last, count) for i in range(1, len(word) + 1)]
+
+    def word_count(self, word: str) -> int:
+        return 1 if word + END in self.tokens else self._ended(word, len(word), *self.prefixes(word))
+
+    # words of a text
 
     def plain(self, text: str) -> str | None:
-        """The normalised text, or None where the library must see it whole."""
+        """The text in normal form and small letters, or None where the library must split it."""
         if UNSURE.search(text) or any(s in text for s in self.special):
             return None
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
@@ -66,15 +150,23 @@ class Counter:
     def words(self, plain: str) -> list[str]:
         return WORD.findall(plain)
 
-    def whole(self, text: str) -> int:
-        return len(self.lib.encode(text, add_special_tokens=False).ids)
+    def spans(self, text: str) -> tuple[str, list[tuple[str | None, int, int]]]:
+        """The normalised text, and its words in byte letters with where they begin and end in it; a special string is a word without letters."""
+        shown, at, out = [], 0, []
+        for k, part in enumerate(self.apart.split(text) if self.apart else [text]):
+            special = k % 2 == 1
+            part = part if special else self.lib.normalizer.normalize_str(part)
+            found = [(None, (0, len(part)))] if special else self.lib.pre_tokenizer.pre_tokenize_str(part)
+            out += [(w, at + a, at + b) for w, (a, b) in found]
+            shown.append(part)
+            at += len(part)
+        return "".join(shown), out
 
     def learn(self, words: set[str]) -> None:
         if len(self.table) + len(words) > self.table_words:
             self.table.clear()
-        new = list(words)
-        for w, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False)):
-            self.table[w] = len(e)
+        for w in words:
+            self.table[w] = self.word_count(w if PLAIN.fullmatch(w) else byte_letters(w))
 
     def prefix_counts(self, words: list[str]) -> np.ndarray:
         """Token counts up to each word's end, 0 first; a word is looked up once."""
@@ -86,81 +178,40 @@ class Counter:
         np.cumsum(counts, out=out[1:])
         return out
 
-    # inside a word
-
-    def _token(self, piece: str) -> bool:
-        """Whether piece, in the vocabulary's byte letters, is a token that its own merges reach."""
-        if self._tokens is None:
-            self._tokens = self.lib.get_vocab(with_added_tokens=False)
-        return piece in self._tokens
+    def positions(self, text: str) -> tuple[str, list[tuple[str | None, int, int]], np.ndarray]:
+        """The normalised text, its words, and the token counts up to each word's end, 0 first."""
+        shown, spans = self.spans(text)
+        known = {w: self.word_count(w) if w else 1 for w in {w for w, _, _ in spans}}
+        return shown, spans, np.cumsum([0, *(known[w] for w, _, _ in spans)])
 
-    def _fits(self, a: str, b: str) -> bool:
-        """Whether a and b stay apart when their text is merged. Asked of the merges of the two alone."""
-        got = self._pairs.get((a, b))
-        if got is None:
-            if len(self._pairs) > 200_000:
-                self._pairs.clear()
-            got = self._pairs[a, b] = merge(self._start(a) + self._start(b), self.ranks) == [a, b]
-        return got
-
-    def _start(self, piece: str) -> list[str]:
-        if piece.endswith(END):
-            cut = piece[: -len(END)]
-            return [*cut[:-1], cut[-1] + END]
-        return list(piece)
-
-    @property
-    def ranks(self) -> dict[tuple[str, str], int]:
-        if not hasattr(self, "_ranks"):
-            import json
-
-            merges = json.loads(self.lib.to_str())["model"]["merges"]
-            self._ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(merges)}
-        return self._ranks
-
-    def word_prefix_counts(self, word: str) -> list[int]:
-        """For a word of byte letters: the token count of each prefix taken as a word, from length 1 on."""
-        last: list[str | None] = [None] * (len(word) + 1)
-        count = [0] * (len(word) + 1)
-        out = []
-        for i in range(1, len(word) + 1):
-            ended = None
-            for j in range(i):
-                piece = word[j:i]
-                for p, inner in ((piece, True), (piece + END, False)):
-                    if not self._token(p) or (j and (last[j] is None or not self._fits(last[j], p))):
-                        continue
-                    if len(self._start(p)) > 1 and merge(self._start(p), self.ranks) != [p]:
-                        continue
-                    if inner and last[i] is None:
-                        last[i], count[i] = p, count[j] + 1
-                    elif not inner and ended is None:
-                        ended = count[j] + 1
-            out.append(ended)
-        return out
-
-    def byte_letters(self, word: str) -> str:
-        return "".join(BYTE_LETTERS[b] for b in word.encode())
-
-    def longest_prefix(self, text: str, budget: int) -> int | None:
-        """Characters of the normalised text that fit in budget tokens, cut at any character; None for texts the library must see whole."""
+    def count(self, text: str) -> int:
         plain = self.plain(text)
-        if plain is None:
-            return None
-        spans = [m.span() for m in WORD.finditer(plain)]
-        sums = self.prefix_counts([plain[a:b] for a, b in spans])
+        return int((self.positions(text)[2] if plain is None else self.prefix_counts(self.words(plain)))[-1])
+
+    def longest_prefix(self, text: str, budget: int) -> int:
+        """Characters of the normalised text that fit in budget tokens, cut at any character but inside special strings."""
+        shown, spans, sums = self.positions(text)
         if sums[-1] <= budget:
-            return len(plain)
+            return len(shown)
         k = int(np.searchsorted(sums, budget, side="right")) - 1
-        a, b = spans[k]
+        word, a, b = spans[k]
         best = a
-        inside = self.word_prefix_counts(self.byte_letters(plain[a:b]))
-        for n in range(1, b - a):
-            if sums[k] + inside[len(plain[a : a + n].encode()) - 1] <= budget:
-                best = a + n
+        if word is not None:
+            inside = self.word_counts(word)
+            for n in range(1, b - a):
+                if sums[k] + inside[len(shown[a : a + n].encode()) - 1] <= budget:
+                    best = a + n
         return best
 
 
+def _letters(piece: str) -> list[str]:
+    """The letters that a token is merged from; the last one of a word has the end with it."""
+    if piece.endswith(END) and piece != END:
+        cut = piece[: -len(END)]
+        return [*cut[:-1], cut[-1] + END]
+    return list(piece)
+
+
 def merge(parts: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     """Merges the leftmost pair of least rank until none is left."""
     while len(parts) > 1:
@@ -179,13 +230,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = _byte_letters()
-SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_words long"
+
+
+def byte_letters(word: str) -> str:
+    return "".join(BYTE_LETTERS[b] for b in word.encode())
+
+
+SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_words long, fitting_chars long"
 _COUNTERS: dict[str, Counter] = {}
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Bytes, tokens and whether the limit is passed, for every whole text."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("n_words", pa.int64())])
+    """Bytes, tokens and whether the limit is passed, for every whole text; where it is, how many characters of the normalised text fit, else null."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("n_words", pa.int64()), ("fitting_chars", pa.int64())])
 
     def work(batch: pa.RecordBatch) -> dict:
         counter = _COUNTERS.get(tokenizer)
@@ -199,12 +256,14 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
         tokens, counts, at = [], [], 0
         for t, ws in zip(texts, words):
             if ws is None:
-                tokens.append(counter.whole(t))
-                counts.append(None)
+                own = counter.positions(t)[2]
+                tokens.append(int(own[-1]))
+                counts.append(len(own) - 1)
                 continue
             tokens.append(int(sums[at + len(ws)] - sums[at]))
             counts.append(len(ws))
             at += len(ws)
-        return {"doc_id": batch.column(0), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens], "n_words": counts}
+        fitting = [counter.longest_prefix(t, limit) if n > limit else None for t, n in zip(texts, tokens)]
+        return {"doc_id": batch.column(0), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens], "n_words": counts, "fitting_chars": fitting}
 
     return over(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), mapped(work, schema), SCHEMA)

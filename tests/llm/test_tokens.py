@@ -25,13 +25,32 @@ TEXTS = ["", " ", "Hello, World's 123!!  \n\n x", "ÀÉß ñandú Ǆ İstanbul",
 anything = st.text(max_size=60) | st.text(alphabet="abcdeé ñ'st.!\n 12", max_size=200)
 
 
-@settings(max_examples=300, deadline=None)
-@given(anything)
+counter = token_counts.Counter(WORD)
+lib = Tokenizer.from_file(WORD)
+
+
+def size(text):
+    return len(lib.encode(text, add_special_tokens=False).ids)
+
+
+marked = st.lists(anything | st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|endof", "’", "—", "Ω", " "])).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(anything | marked)
 def test_counts_like_the_library(text):
-    counter, lib = token_counts.Counter(WORD), Tokenizer.from_file(WORD)
-    plain = counter.plain(text)
-    got = counter.whole(text) if plain is None else int(counter.prefix_counts(counter.words(plain))[-1])
-    assert got == len(lib.encode(text, add_special_tokens=False).ids)
+    assert counter.count(text) == int(counter.positions(text)[2][-1]) == size(text)
+
+
+@settings(max_examples=150, deadline=None)
+@given(anything | marked, st.integers(0, 30))
+def test_longest_prefix_of_any_text(text, budget):
+    shown = counter.spans(text)[0]
+    specials = [m.span() for m in counter.apart.finditer(shown)]
+    fits = [n for n in range(len(shown) + 1) if not any(a < n < b for a, b in specials) and (size(shown[:n]) <= budget)]
+    n = counter.longest_prefix(text, budget)
+    assert size(shown[:n]) <= budget or n == 0
+    assert shown[: max(fits)].rstrip() == shown[:n].rstrip()
 
 
 @settings(max_examples=300, deadline=None)
@@ -50,25 +69,22 @@ def test_known_texts(tik, text):
 
 
 def test_prefixes_inside_words():
-    counter, lib = token_counts.Counter(WORD), Tokenizer.from_file(WORD)
-    for word in ("thinking", "antidisestablishmentarianism", "xqzzv", "reouha", "licensed", "!!!???", "straße"):
-        got = counter.word_prefix_counts(counter.byte_letters(word))
-        want = [len(lib.encode(word[:i], add_special_tokens=False).ids) for i in range(1, len(word) + 1)]
-        assert [got[len(word[:i].encode()) - 1] for i in range(1, len(word) + 1)] == want
+    for word in ("thinking", "antidisestablishmentarianism", "xqzzv", "reouha", "licensed", "!!!???", "straße", "日本語", "ab" * 60):
+        got = counter.word_counts(token_counts.byte_letters(word))
+        assert [got[len(word[:i].encode()) - 1] for i in range(1, len(word) + 1)] == [size(word[:i]) for i in range(1, len(word) + 1)]
 
 
-def test_longest_prefix_is_longest():
-    counter, lib = token_counts.Counter(WORD), Tokenizer.from_file(WORD)
-    text = "unbelievable thinking of reouha the edthings, and more of it."
-    size = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
-    for budget in range(0, size(text) + 1):
-        n = counter.longest_prefix(text, budget)
-        assert n == max(i for i in range(len(text) + 1) if size(text[:i]) <= budget or i == 0) or text[:n].strip() == text[: max(i for i in range(len(text) + 1) if size(text[:i]) <= budget)].strip()
+def test_every_budget():
+    text = "unbelievable thinking of reouha the “edthings”, and Ωmega of it."
+    shown = counter.spans(text)[0]
+    for budget in range(size(text) + 1):
+        assert shown[: counter.longest_prefix(text, budget)].rstrip() == shown[: max(i for i in range(len(shown) + 1) if size(shown[:i]) <= budget)].rstrip()
 
 
 def test_queries(spark, frame, tik):
     docs = frame([(i, t) for i, t in enumerate(TEXTS)] + [(50, None), (3, TEXTS[3])])
-    lib = Tokenizer.from_file(WORD)
+    cuts = {r.doc_id: r.fitting_chars for r in token_counts.count_tokens(docs, WORD, limit=10).collect()}
+    assert all(cuts[i] == (counter.longest_prefix(t, 10) if size(t) > 10 else None) for i, t in enumerate(TEXTS)) and any(cuts.values())
     rows = sorted(tuple(r) for r in token_counts.count_tokens(docs, WORD, limit=10).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect())
     want = []
     for i, t in [*enumerate(TEXTS), (50, ""), (3, TEXTS[3])]:
