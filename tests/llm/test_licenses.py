@@ -85,3 +85,48 @@ def test_long_sentences(frame):
     texts = ["=" * 300 + " MIT License", f"Copyright (c) 2020 {holders}. All rights reserved.", " " * 400 + "Released under the MIT License.", "* " * 200 + "licensed under the mit license" + " *" * 200, "x" * 100_000]
     got = [r.licenses for r in L.scan_licenses(frame(list(enumerate(texts)))).orderBy("doc_id").collect()]
     assert got == ["MIT", "proprietary", "MIT", "MIT", ""]
+
+
+MORE = {
+    "SPDX-License-Identifier: MIT": ("MIT-spdx", "MIT"),
+    "// SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) OR Apache-2.0": ("GPL-2.0-or-later-spdx,Apache-2.0-spdx", "GPL-2.0-or-later,Apache-2.0"),
+    "# SPDX-License-Identifier: GPL-3.0+\nSPDX-License-Identifier: LicenseRef-own": ("GPL-3.0-or-later-spdx,other-spdx", "GPL-3.0-or-later"),
+    "This project is licensed under the GNU General Public License v3.0.": ("GPL-3.0-ref", "GPL-3.0"),
+    "Distributed under the terms of the GNU Lesser General Public License, version 2.1 or later.": ("LGPL-2.1-or-later-ref", "LGPL-2.1-or-later"),
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": ("CC-BY-SA-4.0-ref", "CC-BY-SA-4.0"),
+    "Boost Software License - Version 1.0 - August 17th, 2003": ("BSL-1.0-title", "BSL-1.0"),
+    "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\nReleased under the MIT License.\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.": ("BSD-grant,MIT-ref,BSD-source,BSD-binary", "MIT"),
+    ";; Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction;": ("MIT-grant", "MIT"),
+    "Licensed under CC BY 4.0.\nReleased under the MIT License.\nLicensed under CC BY 4.0.": ("CC-BY-4.0-ref,MIT-ref,CC-BY-4.0-ref", "CC-BY-4.0,MIT"),
+    "Licensed under the Whatever License.": ("", ""),
+}
+
+
+def test_names_tags_and_order(frame):
+    got = [(r.sequence, r.licenses) for r in L.scan_licenses(frame(list(enumerate(MORE)))).orderBy("doc_id").collect()]
+    assert got == list(MORE.values())
+
+
+def test_comments(frame):
+    marks = [" * ", "// ", "# ", "-- ", "% "]
+    texts = ["".join(f"{m}{x}\n" for x in MIT.splitlines()) for m in marks]
+    got = [r.licenses for r in L.scan_licenses(frame(list(enumerate(texts)))).orderBy("doc_id").collect()]
+    assert got == ["MIT"] * len(marks)
+
+
+def test_tables():
+    lacking = [s for s in L.KNOWN if not any(c in s.split(" ")[k] for k in range(len(s.split(" "))) for c in L.CUES)]
+    assert not lacking and all(any(c in n for c in L.CUES) for n in L.NAMED)
+    assert len(L.KNOWN) + len(L.NAMED) >= 150 and len(L.RULES) >= 60
+
+
+def test_the_sql_says_the_same(frame, spark):
+    duckdb = pytest.importorskip("duckdb")
+    texts = [v[0] for v in TEXTS.values()] + list(MORE) + ["MIT License\nCopyright (c) 2020 X\nAll rights reserved", "Licensed under the\n\nMIT License", "You may\nLicensed under the\nMIT License", "=" * 300 + " MIT License", "", None, "\n\n", "GNU\nGeneral Public\nLicense version 2", "x" * 5000]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, MIT), (3, texts[3])]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = sorted(db.execute(f"SELECT doc_id, n_sentences, n_known, sequence, licenses FROM ({L.ORACLE_SQL})").fetchall(), key=str)
+    got = sorted((tuple(r) for r in L.scan_licenses(frame(rows)).collect()), key=str)
+    assert got == want

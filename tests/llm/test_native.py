@@ -137,6 +137,6 @@ def test_licenses(frame, spark):
         6: "", 7: None, 8: "nothing of the kind", 9: "MIT" * 50_000,
     }
     got = {r.doc_id: r for r in L.scan_licenses(frame([*texts.items(), (1, texts[1])])).collect()}
-    assert {i: got[i].licenses for i in texts} == {1: "Apache-2.0", 2: "MIT", 3: "MIT,CC-BY-NC-4.0", 4: "", 5: "proprietary", 6: "", 7: "", 8: "", 9: ""}
+    assert {i: got[i].licenses for i in texts} == {1: "Apache-2.0", 2: "MIT", 3: "MIT,CC-BY-NC-4.0", 4: "GPL-3.0-or-later", 5: "proprietary", 6: "", 7: "", 8: "", 9: ""}
     assert got[3].sequence == "MIT-ref,CC-BY-NC-4.0-ref,MIT-ref" and got[7].n_sentences == 0 and got[2].n_known == 2
     assert L.scan_licenses(frame([(1, "x")]).where("false")).count() == 0
