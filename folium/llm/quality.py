@@ -10,7 +10,9 @@ most TRAIN_BYTES bytes of text; scoring sees every whole text. Rows with crc32(d
 Inputs of a score are the text's bytes alone.
 
 Defined cases: null text = empty, one passage of zeros; labels that are null are ignored, of several labels for a doc_id
-the least counts; without labels of both kinds every score is 1; repeated rows each give a row; other columns are ignored.
+the least counts, and of several texts the least; without labels of both kinds there is nothing to learn and every score is 1;
+repeated rows and rows without an id each give a row, the latter not held out; very long texts are scored whole; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -164,7 +166,7 @@ def training_rows(docs: DataFrame, known: DataFrame, id_col: str, text_col: str,
     pick = [fit.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2) for q in (0, 1)]
     chosen = F.broadcast(pick[0].unionByName(pick[1]))  # `rows` rows at most
     found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= longest).join(chosen, "doc_id")
-    return found.dropDuplicates(["doc_id"]).orderBy("doc_id").select("text", "quality").collect()
+    return found.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("quality").alias("quality")).orderBy("doc_id").select("text", "quality").collect()
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, longest: int = TRAIN_BYTES) -> Attention | None:
