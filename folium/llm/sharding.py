@@ -10,7 +10,8 @@ meets in a task. The search itself sees a bounded number of group ends: first th
 stretches of bytes, then again only inside the stretches where a cut may fall, until the capacity is exact.
 
 Defined cases: null text = empty text, 8 bytes; repeated rows each get a slot; an empty table gives no rows; with fewer
-groups than shards some shards stay empty; other columns of the input are ignored.
+groups than shards some shards stay empty; rows without an id are one id; very long texts are taken whole; other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -22,17 +23,26 @@ from pyspark.sql import functions as F
 
 from folium.session import cut
 
-PREFIX_DIGITS = 3
+#: Digits of an MD5 prefix: PREFIX_DIGITS, and one more for each sixteenfold of PREFIX_ROWS rows, up to MOST_DIGITS.
+PREFIX_DIGITS, MOST_DIGITS = 3, 5
+PREFIX_ROWS = 400_000_000
 SALTS = 128
 BINS = 1 << 15
 
 
-def _cells(base: DataFrame) -> DataFrame:
+def _digits(rows: int) -> int:
+    digits = PREFIX_DIGITS
+    while digits < MOST_DIGITS and rows > PREFIX_ROWS * 16 ** (digits - PREFIX_DIGITS):
+        digits += 1
+    return digits
+
+
+def _cells(base: DataFrame, digits: int = PREFIX_DIGITS) -> DataFrame:
     """(key, salt) cells with running sums: n_end rows and group_end bytes up to the cell's and its group's end."""
     cells = base.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    cells = cells.withColumn("prefix", F.substring("key", 1, PREFIX_DIGITS))
+    cells = cells.withColumn("prefix", F.substring("key", 1, digits))
     totals = cells.groupBy("prefix").agg(F.sum("n").alias("pn"), F.sum("bytes").alias("pb"))
-    before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)  # 16 ** PREFIX_DIGITS rows at most
+    before = Window.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)  # 16 ** MOST_DIGITS rows at most
     totals = totals.select(
         "prefix",
         F.coalesce(F.sum("pn").over(before), F.lit(0)).alias("pn"),
@@ -148,7 +158,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id",
         F.md5(text.cast("binary")).alias("key"),
         F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)).cast("int").alias("salt"),
     )
-    cells = cut(_cells(base))
+    cells = cut(_cells(base, _digits(docs.count())))
     _, cuts = minimax_cuts(cells, n_shards, bins)
     shard = sum(((F.col("group_end") > c).cast("int") for c in cuts), F.lit(0)).cast("int")
     cells = cells.withColumn("shard", shard)

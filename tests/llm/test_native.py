@@ -91,7 +91,10 @@ def brute_capacity(sizes, n):
     return low
 
 
-def test_sharding(frame):
+def test_sharding(frame, monkeypatch):
+    monkeypatch.setattr(S, "PREFIX_ROWS", 1000)
+    assert [S._digits(n) for n in (0, 1000, 1001, 16_001, 10**9)] == [3, 3, 4, 5, 5]
+    monkeypatch.setattr(S, "PREFIX_ROWS", 20)
     rows = documents(7) + [(1000 + i, "the same text") for i in range(300)] + [(5000, None)]
     for n, bins in ((24, S.BINS), (5, 16), (1, 8), (200, 50)):
         got = S.shard_documents(frame(rows), n, bins=bins).collect()
