@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, cells) of the nodes (id, text_key, doc_id): all cells of one row of documents each."""
+    """(id, cells) of the nodes (id, text_key, doc_id), one for each row of documents with that id and text."""
     schema = pa.schema([("id", pa.int64()), ("cells", pa.list_(pa.int64()))])
 
     def work(batch: pa.RecordBatch) -> dict:
@@ -144,34 +144,45 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, shingle
         nodes = F.broadcast(nodes)
     texts = docs.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).withColumn("row_key", F.unhex(F.md5("text")))
     some = texts.join(nodes, (F.col("row_key") == F.col("text_key")) & F.col("row_id").eqNullSafe(F.col("doc_id"))).select("id", "text")
-    return over(some, mapped(work, schema), "id long, cells array<long>").dropDuplicates(["id"])
+    return over(some, mapped(work, schema), "id long, cells array<long>")
 
 
-def _look_up(rows: DataFrame, table: DataFrame, key: str, by: str) -> DataFrame:
-    """rows (a written table) joined with table by key.
+def _counted(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+
+
+def _look_up(rows: DataFrame, table: DataFrame, key: str, by: str, counts: DataFrame, total: int) -> DataFrame:
+    """rows joined with table by key.
 
     Values that very many rows have are dealt to several tasks by hashes of `by`, with a copy of the value's own rows of
-    table in each. Which values these are is counted; at most HOT can be, so the list of them is broadcast.
+    table in each. counts (key, size) tells which values these are, total how many rows there are; at most HOT can be, so
+    the list of them is broadcast.
     """
-    n = rows.count()
-    if n <= 20 * SPLIT:
-        return rows.join(table, key)
-    limit = max(SPLIT, n // HOT)
-    hot = F.broadcast(rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows__")).where(F.col("rows__") > limit).select(key, F.ceil(F.col("rows__") / limit).cast("int").alias("parts__")))
+    limit = max(SPLIT, total // HOT)
+    hot = F.broadcast(counts.where(F.col("size") > limit).select(key, F.ceil(F.col("size") / limit).cast("int").alias("parts__")))
     parts = F.coalesce("parts__", F.lit(1))
     dealt = rows.join(hot, key, "left").withColumn("salt__", F.pmod(F.xxhash64(by), parts).cast("int")).drop("parts__")
     copies = table.join(hot, key, "left").withColumn("salt__", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts__")
     return dealt.join(copies, [key, "salt__"]).drop("salt__")
 
 
+def _meet(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of buckets (key, id, size) joined with table (key, of) by bucket, of which one with very many rows is dealt to several tasks."""
+    parts = F.ceil(F.col("size") / SPLIT).cast("int")
+    dealt = rows.withColumn("salt__", F.pmod(F.xxhash64("id"), parts).cast("int"))
+    copies = table.withColumn("salt__", F.explode(F.sequence(F.lit(0), F.ceil(F.col("of") / SPLIT).cast("int") - 1))).drop("of")
+    return dealt.join(copies, ["key", "salt__"]).drop("salt__")
+
+
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b, ca, cb), each once, with j, the weighted Jaccard similarity."""
     pairs = cut(pairs)
-    left = cut(_look_up(pairs, sets.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a", "b"))
-    both = _look_up(left, sets.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b", "a")
+    n = pairs.count()
+    left = _look_up(pairs, sets.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a", "b", _counted(pairs, "a"), n)
+    both = _look_up(left, sets.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b", "a", _counted(pairs, "b"), n)
     same = F.size(F.array_intersect("x", "y"))
     out = cut(both.select("a", "b", "ca", "cb", (same / (F.size("x") + F.size("y") - same)).alias("j")))
-    forget(pairs, left)
+    forget(pairs)
     return out
 
 
@@ -181,14 +192,14 @@ ROW = ["key", "id", "n", "match", "comp"]
 def _unsettled(rows: DataFrame) -> DataFrame:
     """Of rows (a written table, deleted here) those of buckets with rows of different classes; of buckets with the same rows one.
 
-    Adds the sorted keys of every row's buckets and how many rows it meets in them.
+    Adds the size of the bucket, the sorted keys of every row's buckets and how many rows it meets in them.
     """
     buckets = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("mix")).where("lo <> hi")
     chosen = cut(buckets.groupBy("size", "mix").agg(F.min("key").alias("key")).select("key", "size"))
-    crowded = cut(_look_up(rows, chosen, "key", "id").select(*ROW, "size"))
+    crowded = cut(_look_up(rows, chosen, "key", "id", chosen, rows.count()).select(*ROW, "size"))
     forget(rows, chosen)
     own = crowded.groupBy("id").agg(F.sort_array(F.collect_list("key")).alias("keys"), F.sum("size").alias("central"))  # two keys for each band at most
-    out = cut(crowded.join(own, "id").select(*ROW, "keys", "central"))
+    out = cut(crowded.join(own, "id").select(*ROW, "size", "keys", "central"))
     forget(crowded)
     return out
 
@@ -201,8 +212,8 @@ def _most(n: Column, match: Column, p: str) -> Column:
 
 def _odd(rows: DataFrame) -> DataFrame:
     """The rows that are not of their bucket's largest class: once these have been pivots, the bucket is settled."""
-    counts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"))
-    return _look_up(rows, counts, "key", "id").where(F.col("comp") != F.col("most.comp"))
+    counts = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.first("size").alias("size")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.first("size").alias("of"))
+    return _meet(rows, counts).where(F.col("comp") != F.col("most.comp")).drop("most")
 
 
 def _matchable(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -222,21 +233,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = DEEP) -> DataFrame:
     """doc_id, class_id, copy_of, text_key and first, the text_key that stands for the class: its least one among those with class_id."""
     signed = cut(signatures(docs, id_col, text_col, shingle, bands, rows))
-    texts = signed.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    texts = signed.where("text_key IS NOT NULL").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("rows"))
     texts = cut(texts.withColumn("id", F.monotonically_increasing_id()))
     spread = texts.select(F.explode("keys").alias("key"), "id", F.col("n").cast("long").alias("n"), F.col("n").cast("long").alias("match"), F.col("id").alias("comp"))
     rows_in = _unsettled(cut(spread))
     sets = cut(_sets(docs, texts.select("id", "text_key", "doc_id").join(rows_in.select("id").distinct(), "id"), id_col, text_col, shingle))
+    if sets.count() > sets.select("id").distinct().count():  # rows equal in id and text
+        sets, more = cut(sets.dropDuplicates(["id"])), sets
+        forget(more)
     loose = 1 - 2 * (1 - threshold) - 1e-9  # a row at the very bound is put on both sides
     found, turn = [], 0
     while not rows_in.isEmpty():
         head = F.min(F.struct((-F.col("central")).alias("order"), "id", "n", "match", "comp", "keys")).alias("p")
         pivots = _odd(rows_in) if turn else rows_in
-        pivots = cut(pivots.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(16**turn)).alias("slot")).agg(head).select("key", "p"))
+        pivots = cut(pivots.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(16**turn)).alias("slot")).agg(head, F.first("size").alias("of")).select("key", "p", "of"))
         meet = (F.col("comp") != F.col("p.comp")) & (_most(F.col("n"), F.col("match"), "p") >= (threshold if turn else loose))
         if turn:  # a pair is compared in the first bucket that both are in
             meet = meet & (F.array_min(F.array_intersect("keys", "p.keys")) == F.col("key"))
-        faced = _look_up(rows_in, pivots, "key", "id").where(meet)
+        faced = _meet(rows_in, pivots).where(meet)
         first = F.col("id") < F.col("p.id")
         pairs = faced.select(
             F.least("id", "p.id").alias("a"),
@@ -247,7 +261,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float =
         measured = _measured(pairs.distinct(), sets)
         if turn == 0:  # one pivot in each bucket; a row that was not measured against it is far
             known = measured.select("a", "b", "j")
-            left = _look_up(rows_in, pivots.select("key", F.col("p.id").alias("pivot")), "key", "id").where(F.col("id") != F.col("pivot"))
+            left = _meet(rows_in, pivots.select("key", "of", F.col("p.id").alias("pivot"))).where(F.col("id") != F.col("pivot"))
             left = left.withColumn("a", F.least("id", "pivot")).withColumn("b", F.greatest("id", "pivot")).join(known, ["a", "b"], "left")
             sides = F.array_compact(F.array(F.when(F.col("j") >= loose, F.lit(0)), F.when(F.coalesce(F.col("j"), F.lit(0.0)) < threshold, F.lit(1))))
             left = left.withColumn("side", F.explode(sides)).withColumn("key", F.xxhash64("key", "side")).select(*ROW)
@@ -270,9 +284,10 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     labelled = cut(texts.select("id", "text_key", "doc_id").join(linked, "id", "left"))
     some = labelled.where("comp IS NOT NULL")
     classes = some.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")).alias("least"))
-    named = _look_up(some, classes, "comp", "id").select("text_key", F.col("doc_id").alias("copy_of"), F.col("least.doc_id").alias("class_id"), F.col("least.text_key").alias("first"))
+    named = _look_up(some, classes, "comp", "id", _counted(some, "comp"), some.count()).select("text_key", F.col("doc_id").alias("copy_of"), F.col("least.doc_id").alias("class_id"), F.col("least.text_key").alias("first"))
     named = named.unionByName(labelled.where("comp IS NULL").select("text_key", F.col("doc_id").alias("copy_of"), F.col("doc_id").alias("class_id"), F.col("text_key").alias("first")))
-    known = _look_up(signed.where("text_key IS NOT NULL").select("doc_id", "text_key"), named, "text_key", "doc_id").select("doc_id", "class_id", "copy_of", "text_key", "first")
+    written = signed.where("text_key IS NOT NULL").select("doc_id", "text_key")
+    known = _look_up(written, named, "text_key", "doc_id", texts.select("text_key", F.col("rows").alias("size")), written.count()).select("doc_id", "class_id", "copy_of", "text_key", "first")
     alone = signed.where("text_key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_of"), "text_key", F.col("text_key").alias("first"))
     return known.unionByName(alone)
 
