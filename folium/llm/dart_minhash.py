@@ -178,6 +178,9 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (a, b, ca, cb), each once, with j, the weighted Jaccard similarity."""
     pairs = cut(pairs)
     n = pairs.count()
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if 2 * n <= BROADCAST_IDS:  # only sets that are compared move
+        sets = sets.join(F.broadcast(ids), "id", "left_semi")
     left = _look_up(pairs, sets.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a", "b", _counted(pairs, "a"), n)
     both = _look_up(left, sets.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b", "a", _counted(pairs, "b"), n)
     same = F.size(F.array_intersect("x", "y"))
