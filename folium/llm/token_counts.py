@@ -36,10 +36,15 @@ from folium.llm.arrow import mapped, over
 LIMIT = 2048
 TABLE_WORDS = 600_000
 TABLE_PAIRS = 400_000
+SHORT, TABLE_PREFIXES = 5, 200_000
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 UNSURE = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
 #: Words that are their own byte letters.
 PLAIN = regex.compile(r"[!-~]+")
+#: White space of texts that have none but ASCII's, which the normaliser makes one space.
+BLANKS = regex.compile(r"[\t\n\r ]+")
+#: Before words of the table that are in byte letters.
+SPELLED = "\0"
 END = "</w>"
 NEVER = 1 << 60
 
@@ -68,7 +73,10 @@ class Counter:
         self.parts = {a + b: (a, b) for a, b in self.ranks}
         self.edges: tuple[dict, dict] = ({}, {})
         self.pairs: dict[tuple[str, str], bool] = {}
+        #: Last token and count of prefixes of up to SHORT letters, which many words share.
+        self.known: dict[str, tuple[str, int]] = {}
         self.table: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.table_words = table_words
 
     # inside a word
@@ -119,14 +127,22 @@ class Counter:
 
     def prefixes(self, word: str) -> tuple[list[str], list[int]]:
         """For a word of byte letters: the last token and the token count of each prefix that goes on, from length 0 on."""
-        tokens, fits, last, count = self.tokens, self._fits, [""], [0]
+        tokens, fits, known, last, count = self.tokens, self._fits, self.known, [""], [0]
         for i in range(1, len(word)):
+            if i <= SHORT and (found := known.get(word[:i])) is not None:
+                last.append(found[0])
+                count.append(found[1])
+                continue
             for j in range(max(0, i - self.longest), i):
                 piece = word[j:i]
                 if piece in tokens and (not j or fits(last[j], piece)):
                     last.append(piece)
                     count.append(count[j] + 1)
                     break
+            if i <= SHORT:
+                known[word[:i]] = last[i], count[i]
+        if len(known) > TABLE_PREFIXES:
+            known.clear()
         return last, count
 
     def word_counts(self, word: str) -> list[int]:
@@ -163,17 +179,21 @@ class Counter:
         return "".join(shown), out
 
     def learn(self, words: set[str]) -> None:
+        """Puts words into the table; a full one becomes the older one, whose words come back when they are met again."""
         if len(self.table) + len(words) > self.table_words:
-            self.table.clear()
+            self.table, self.older = {}, self.table
+        table, older = self.table, self.older
         for w in words:
-            self.table[w] = self.word_count(w if PLAIN.fullmatch(w) else byte_letters(w))
+            n = older.get(w)
+            table[w] = self.word_count(w[1:] if w[0] == SPELLED else w if PLAIN.fullmatch(w) else byte_letters(w)) if n is None else n
 
     def prefix_counts(self, words: list[str]) -> np.ndarray:
         """Token counts up to each word's end, 0 first; a word is looked up once."""
         counts = list(map(self.table.get, words))
         if None in counts:
             self.learn({w for w, n in zip(words, counts) if n is None})
-            counts = [self.table[w] if n is None else n for w, n in zip(words, counts)]
+            table = self.table
+            counts = [table[w] if n is None else n for w, n in zip(words, counts)]
         out = np.zeros(len(words) + 1, np.int64)
         np.cumsum(counts, out=out[1:])
         return out
@@ -181,8 +201,11 @@ class Counter:
     def positions(self, text: str) -> tuple[str, list[tuple[str | None, int, int]], np.ndarray]:
         """The normalised text, its words, and the token counts up to each word's end, 0 first."""
         shown, spans = self.spans(text)
-        known = {w: self.word_count(w) if w else 1 for w in {w for w, _, _ in spans}}
-        return shown, spans, np.cumsum([0, *(known[w] for w, _, _ in spans)])
+        sums = self.prefix_counts([w if PLAIN.fullmatch(w) else SPELLED + w for w, _, _ in spans if w is not None])
+        if any(w is None for w, _, _ in spans):
+            own = iter(np.diff(sums).tolist())
+            sums = np.cumsum([0, *(1 if w is None else next(own) for w, _, _ in spans)])
+        return shown, spans, sums
 
     def count(self, text: str) -> int:
         plain = self.plain(text)
@@ -190,18 +213,28 @@ class Counter:
 
     def longest_prefix(self, text: str, budget: int) -> int:
         """Characters of the normalised text that fit in budget tokens, cut at any character but inside special strings."""
+        plain = self.plain(text)
+        if plain is not None:
+            return self.fitting(plain, self.prefix_counts(self.words(plain)), budget)
         shown, spans, sums = self.positions(text)
         if sums[-1] <= budget:
             return len(shown)
         k = int(np.searchsorted(sums, budget, side="right")) - 1
         word, a, b = spans[k]
-        best = a
-        if word is not None:
-            inside = self.word_counts(word)
-            for n in range(1, b - a):
-                if sums[k] + inside[len(shown[a : a + n].encode()) - 1] <= budget:
-                    best = a + n
-        return best
+        return a + (0 if word is None else self._inside(word, shown[a:b], budget - int(sums[k])))
+
+    def fitting(self, plain: str, sums: np.ndarray, budget: int) -> int:
+        """The same for a text in normal form and small letters, given the token counts up to each word's end."""
+        if sums[-1] <= budget:
+            return len(BLANKS.sub(" ", plain))
+        k = int(np.searchsorted(sums, budget, side="right")) - 1
+        found = next(itertools.islice(WORD.finditer(plain), k, None))
+        return len(BLANKS.sub(" ", plain[: found.start()])) + self._inside(byte_letters(found[0]), found[0], budget - int(sums[k]))
+
+    def _inside(self, word: str, shown: str, budget: int) -> int:
+        """Characters of a word that fit in what is left of a budget."""
+        inside = self.word_counts(word)
+        return max((n for n in range(1, len(shown)) if inside[len(shown[:n].encode()) - 1] <= budget), default=0)
 
 
 def _letters(piece: str) -> list[str]:
@@ -253,17 +286,17 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: st
         words = [None if p is None else counter.words(p) for p in plain]
         flat = [w for ws in words if ws for w in ws]
         sums = counter.prefix_counts(flat)  # over the whole slice; a text's share is a difference
-        tokens, counts, at = [], [], 0
-        for t, ws in zip(texts, words):
+        tokens, counts, fitting, at = [], [], [], 0
+        for t, p, ws in zip(texts, plain, words):
             if ws is None:
                 own = counter.positions(t)[2]
-                tokens.append(int(own[-1]))
-                counts.append(len(own) - 1)
-                continue
-            tokens.append(int(sums[at + len(ws)] - sums[at]))
-            counts.append(len(ws))
-            at += len(ws)
-        fitting = [counter.longest_prefix(t, limit) if n > limit else None for t, n in zip(texts, tokens)]
+            else:
+                own = sums[at : at + len(ws) + 1] - sums[at]
+                at += len(ws)
+            n = int(own[-1])
+            tokens.append(n)
+            counts.append(len(own) - 1)
+            fitting.append(None if n <= limit else counter.longest_prefix(t, limit) if p is None else counter.fitting(p, own, limit))
         return {"doc_id": batch.column(0), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": tokens, "over_limit": [n > limit for n in tokens], "n_words": counts, "fitting_chars": fitting}
 
     return over(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), mapped(work, schema), SCHEMA)
