@@ -59,23 +59,29 @@ def heading_tiers(lineitem: DataFrame) -> DataFrame:
     return C.heading_tiers(styles, "size", "bold", "chars", F.lit(30))
 
 
-_LINES = "SELECT source, doc_id, unnest(string_split(text, chr(10))) AS t FROM documents"
+#: Every document is a page that begins with a line of its source and number.
+_LINES = "SELECT source, doc_id, unnest(string_split('Report of ' || source || ' no. ' || doc_id || chr(10) || text, chr(10))) AS t FROM documents"
+
+
+def _lines(documents: DataFrame) -> DataFrame:
+    text = F.concat(F.lit("Report of "), "source", F.lit(" no. "), "doc_id", F.lit("\n"), "text")
+    return documents.select("source", "doc_id", F.explode(F.split(text, "\n")).alias("t"))
 
 
 @add(f"""WITH l AS ({_LINES}), s AS (SELECT source, doc_id, {X.signature('t', DUCK)} AS sig FROM l), p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM s GROUP BY 1),
   n AS (SELECT source, sig, count(DISTINCT doc_id) AS seen FROM s WHERE length(sig) > 0 GROUP BY 1, 2)
-  SELECT source, sig, seen, pages FROM n JOIN p USING (source) WHERE seen >= greatest(2, ceil(pages * 0.06))""", "documents")
+  SELECT source, sig, seen, pages FROM n JOIN p USING (source) WHERE seen >= greatest(2, ceil(pages * 0.4))""", "documents")
 def running_lines(documents: DataFrame) -> DataFrame:
-    lines = documents.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("t")).withColumn("sig", F.expr(X.signature("t", SPARK)))
-    return C.running_lines(lines, "source", "doc_id", "sig", 0.06)
+    lines = _lines(documents).withColumn("sig", F.expr(X.signature("t", SPARK)))
+    return C.running_lines(lines, "source", "doc_id", "sig")
 
 
 @add(f"""WITH l AS ({_LINES}), s AS (SELECT source, doc_id, {X.signature('t', DUCK)} AS sig FROM l), p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM s GROUP BY 1),
-  f AS (SELECT source, sig FROM (SELECT source, sig, count(DISTINCT doc_id) AS seen FROM s WHERE length(sig) > 0 GROUP BY 1, 2) JOIN p USING (source) WHERE seen >= greatest(2, ceil(pages * 0.06)))
+  f AS (SELECT source, sig FROM (SELECT source, sig, count(DISTINCT doc_id) AS seen FROM s WHERE length(sig) > 0 GROUP BY 1, 2) JOIN p USING (source) WHERE seen >= greatest(2, ceil(pages * 0.4)))
   SELECT doc_id, count(*) AS kept FROM s WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.source = s.source AND f.sig = s.sig) GROUP BY 1""", "documents")
 def furniture_removed(documents: DataFrame) -> DataFrame:
-    lines = documents.select("source", "doc_id", F.explode(F.split("text", "\n")).alias("t")).withColumn("sig", F.expr(X.signature("t", SPARK)))
-    furniture = C.running_lines(lines, "source", "doc_id", "sig", 0.06).select("source", "sig")
+    lines = _lines(documents).withColumn("sig", F.expr(X.signature("t", SPARK)))
+    furniture = C.running_lines(lines, "source", "doc_id", "sig").select("source", "sig")
     return lines.join(furniture, ["source", "sig"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("kept"))
 
 
@@ -106,16 +112,19 @@ def language_vote(documents: DataFrame) -> DataFrame:
     return C.language_vote(documents, "doc_id", "text")
 
 
-@add("""SELECT doc_id, len(regexp_extract_all(text, '[\\x{0590}-\\x{08FF}]')) * 2 > len(regexp_extract_all(text, '\\p{L}')) AS rtl,
-  CASE WHEN len(regexp_extract_all(text, '[\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}\\x{4E00}-\\x{9FFF}]')) = 0 THEN NULL ELSE '?' END AS cjk FROM documents""", "documents")
+@add("""WITH d AS (SELECT doc_id, text || CASE doc_id % 6 WHEN 0 THEN repeat('שלום ', 9000) WHEN 1 THEN 'かな漢字' WHEN 2 THEN '한국어' WHEN 3 THEN '漢字' || repeat('漢', 90) || 'か' ELSE '' END AS t FROM documents),
+  n AS (SELECT doc_id, len(regexp_extract_all(t, '[\\x{0590}-\\x{08FF}]')) AS r, len(regexp_extract_all(t, '\\p{L}')) AS l, len(regexp_extract_all(t, '[\\x{3040}-\\x{30FF}]')) AS k, len(regexp_extract_all(t, '[\\x{AC00}-\\x{D7AF}]')) AS g, len(regexp_extract_all(t, '[\\x{4E00}-\\x{9FFF}]')) AS h FROM d)
+  SELECT doc_id, r * 2 > l AS rtl, CASE WHEN k + g + h = 0 THEN NULL WHEN k > 0 AND k / (h + g + 0.0) >= 0.05 THEN 'ja' WHEN g >= 0.2 * greatest(h, 1) THEN 'ko' ELSE 'zh' END AS cjk FROM n""", "documents")
 def script_direction(documents: DataFrame) -> DataFrame:
-    return documents.select("doc_id", C.right_to_left(F.col("text")).alias("rtl"), C.cjk_language(F.col("text")).alias("cjk"))
+    more = F.expr("CASE doc_id % 6 WHEN 0 THEN repeat('שלום ', 9000) WHEN 1 THEN 'かな漢字' WHEN 2 THEN '한국어' WHEN 3 THEN concat('漢字', repeat('漢', 90), 'か') ELSE '' END")
+    text = F.concat(F.col("text"), more)
+    return documents.select("doc_id", C.right_to_left(text).alias("rtl"), C.cjk_language(text).alias("cjk"))
 
 
 @add(f"""WITH l AS ({_LINES}) SELECT source, sum(CASE WHEN regexp_matches(t, '\\p{{L}}-$') THEN 1 ELSE 0 END)::BIGINT AS hyphens, count(*) AS lines,
   sum(CASE WHEN regexp_matches(t, '\\p{{L}}-$') THEN 1 ELSE 0 END) >= 3 AND sum(CASE WHEN regexp_matches(t, '\\p{{L}}-$') THEN 1 ELSE 0 END) * 50 > count(*) AS auto FROM l GROUP BY 1""", "documents")
 def auto_hyphen(documents: DataFrame) -> DataFrame:
-    return C.auto_hyphenated(documents.select("source", F.explode(F.split("text", "\n")).alias("t")), ["source"], "t")
+    return C.auto_hyphenated(_lines(documents), ["source"], "t")
 
 
 @add("""SELECT doc_id, md5(regexp_replace(regexp_replace(replace(text, 'an ', 'an-' || chr(10)), '­\n?', '', 'g'), '(\\p{L})-\n(\\p{Ll})', '\\1\\2', 'g')) AS joined FROM documents""", "documents")
@@ -193,10 +202,10 @@ def drop_empty_lines(orders: DataFrame) -> DataFrame:
     return T.drop_empty_lines(_grid(orders).where("col > 0"), ["t"], "row", "x", "line").select("t", "row", "col", "x", "line")
 
 
-@add("""WITH p AS (SELECT p_brand, p_partkey, len(string_split(p_name, ' ')) + p_partkey % 2 AS n FROM part), c AS (SELECT p_brand, n, count(*) AS r FROM p GROUP BY 1, 2),
-  b AS (SELECT p_brand, arg_min(n, -r * 100 + n) AS pieces, max(r) AS agree, sum(r)::BIGINT AS rows FROM c GROUP BY 1) SELECT * FROM b WHERE pieces >= 2 AND agree >= 2 AND agree >= 0.5 * rows""", "part")
+@add("""WITH p AS (SELECT p_brand, p_partkey, len(string_split(p_name, ' ')) + (p_partkey % 5 = 0)::INT AS n FROM part), c AS (SELECT p_brand, n, count(*) AS r FROM p GROUP BY 1, 2),
+  b AS (SELECT p_brand, arg_min(n, -r * 100 + n) AS pieces, max(r) AS agree, sum(r)::BIGINT AS rows FROM c GROUP BY 1) SELECT * FROM b WHERE pieces >= 2 AND agree >= 2 AND agree >= 0.6 * rows""", "part")
 def split_plan(part: DataFrame) -> DataFrame:
-    return T.split_plan(part.withColumn("n", (F.size(F.split("p_name", " ")) + F.col("p_partkey") % 2)), ["p_brand"], "p_partkey", "n", 0.5)
+    return T.split_plan(part.withColumn("n", (F.size(F.split("p_name", " ")) + (F.col("p_partkey") % 5 == 0).cast("int"))), ["p_brand"], "p_partkey", "n")
 
 
 _ORDERED = "SELECT o_custkey AS t, o_orderkey AS page, 3 + o_orderkey % 2 AS cols, 400.0 + o_orderkey % 9 AS width, 72.0 + o_orderkey % 4 * 5 AS lft FROM orders"
@@ -295,12 +304,14 @@ def ruling_crossings(supplier: DataFrame, customer: DataFrame) -> DataFrame:
     return G.crossings(*_rules(supplier, customer), "page", 2.5, 25.0)
 
 
-@add(f"""WITH a AS ({_ACROSS}), e AS (SELECT across_id AS edge_id, page, x0 AS s, x1 AS e FROM a WHERE across_id % 3 = 0), r AS (SELECT page, x0 + 10 AS rs, x0 + 30 AS re FROM a WHERE across_id % 3 = 1)
-  SELECT e.page, edge_id, coalesce(sum(greatest(0, least(e, re) - greatest(s, rs))), 0) >= 0.6 * (max(e) - max(s)) AS drawn FROM e LEFT JOIN r USING (page) GROUP BY 1, 2""", "supplier", "customer")
+@add(f"""WITH a AS ({_ACROSS}), e AS (SELECT across_id AS edge_id, page, x0 AS s, x1 AS e FROM a), r AS (SELECT page, y, x0 + 10 AS rs, x0 + 14 + across_id % 3 AS re FROM a),
+  p AS (SELECT page, x, sum(d) AS d FROM (SELECT page, rs AS x, 1 AS d FROM r UNION ALL SELECT page, re, -1 FROM r) GROUP BY 1, 2), q AS (SELECT page, x, sum(d) OVER (PARTITION BY page ORDER BY x) AS depth, lead(x) OVER (PARTITION BY page ORDER BY x) AS nx FROM p),
+  cover AS (SELECT edge_id, e.page, e.s, e.e, coalesce(sum(greatest(0, least(e.e, nx) - greatest(e.s, x))), 0) AS len FROM e LEFT JOIN q ON q.page = e.page AND depth > 0 GROUP BY 1, 2, 3, 4)
+  SELECT page, edge_id, len >= 0.6 * (e - s) - 1e-9 AS drawn FROM cover""", "supplier", "customer")
 def ruling_cover(supplier: DataFrame, customer: DataFrame) -> DataFrame:
     a = _rules(supplier, customer)[0]
-    edges = a.where("across_id % 3 = 0").selectExpr("across_id AS edge_id", "page", "x0 AS start", "x1 AS end")
-    return G.coverage(edges, a.where("across_id % 3 = 1").selectExpr("page", "x0 + 10 AS r_start", "x0 + 30 AS r_end"), ["page"])
+    edges = a.selectExpr("across_id AS edge_id", "page", "x0 AS start", "x1 AS end")
+    return G.coverage(edges, a.selectExpr("page", "x0 + 10 AS r_start", "x0 + 14 + across_id % 3 AS r_end"), ["page"])
 
 
 @add("""WITH i AS (SELECT user_id, value AS s, value + 3 AS e FROM events), m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
@@ -331,17 +342,10 @@ def overlap_suppression(part: DataFrame) -> DataFrame:
     return G.suppress_overlaps(_boxes(part), "page", "box_id", 50.0).select("box_id")
 
 
-@add("""WITH RECURSIVE e AS (SELECT o_custkey % 400 AS a, o_orderkey % 397 + 1000 AS b FROM orders WHERE o_orderkey % 40 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-  r(node, root) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.root = u.a) SELECT node, min(root) AS root FROM r GROUP BY 1""", "orders")
-def components(orders: DataFrame) -> DataFrame:
-    e = orders.where("o_orderkey % 40 = 0").selectExpr("o_custkey % 400 AS src", "o_orderkey % 397 + 1000 AS dst")
-    return graph.connected_components(e)
-
-
 #: All orders, each an edge between its customer and itself; orders are below zero, so that no id stands for both.
 @add("""WITH RECURSIVE e AS (SELECT o_custkey AS a, -o_orderkey AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   r(node, root) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.root = u.a) SELECT node, min(root) AS root FROM r GROUP BY 1""", "orders")
-def components_whole(orders: DataFrame) -> DataFrame:
+def components(orders: DataFrame) -> DataFrame:
     return graph.connected_components(orders.selectExpr("o_custkey AS src", "-o_orderkey AS dst"))
 
 
@@ -376,9 +380,9 @@ def footnote_join(orders: DataFrame, customer: DataFrame) -> DataFrame:
     return orders.join(whole, "o_custkey").select("o_orderkey", "o_custkey", "whole")
 
 
-@add("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer", "orders")
+@add("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)", "customer", "orders")
 def leftover_notes(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    return customer.join(orders, customer.c_custkey == orders.o_custkey, "left_anti").select("c_custkey")
+    return customer.join(orders.where("o_totalprice > 400000"), customer.c_custkey == orders.o_custkey, "left_anti").select("c_custkey")
 
 
 @add("""WITH RECURSIVE t AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_partkey // 5 END AS base, CASE WHEN p_size % 3 = 0 THEN p_size END AS size FROM part),

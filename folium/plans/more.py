@@ -25,22 +25,11 @@ dual("w3c_times", "orders", lambda d: [{"o_orderkey": "o_orderkey", "t": "CASE o
 dual("active_content", "pages", lambda d: [{"page_id": "page_id", "part": "CASE page_id % 5 WHEN 0 THEN 'word/vbaProject.bin' WHEN 1 THEN 'word/embeddings/oleObject1.bin' WHEN 2 THEN 'xl/externalLinks/externalLink1.xml' WHEN 3 THEN 'word/activeX/a.xml' ELSE 'word/document.xml' END"}, {"page_id": "page_id", "kind": f"CASE WHEN {d.matches('part', 'vbaProject')} THEN 'macro' WHEN {d.matches('part', 'oleObject|embeddings/')} THEN 'object' WHEN {d.matches('part', 'externalLink')} THEN 'link' WHEN {d.matches('part', 'activeX/')} THEN 'control' END"}])
 
 
-@add("""WITH b AS (SELECT p_partkey AS box_id, p_partkey % 10 AS page, p_size * 100.0 AS "left", p_size * 100.0 + 150 AS "right", 1.0 AS top, 1.0 + p_size % 5 AS bottom FROM part WHERE p_partkey % 25 = 0),
-  p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 10 AS page, floor(l_extendedprice / 20) AS x, l_linenumber::DOUBLE AS y FROM lineitem),
-  h AS (SELECT l_orderkey, l_linenumber, l_partkey, box_id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, p.page, x ORDER BY ("right" - "left") * (bottom - top), box_id) AS r FROM (SELECT DISTINCT * FROM p) p JOIN b ON p.page = b.page AND x BETWEEN "left" AND "right" AND y BETWEEN top AND bottom)
-  SELECT l_orderkey, l_linenumber, l_partkey, box_id FROM h WHERE r = 1""", "part", "lineitem")
-def merged_ranges(part: DataFrame, lineitem: DataFrame) -> DataFrame:
-    b = part.where("p_partkey % 25 = 0").selectExpr("p_partkey AS box_id", "p_partkey % 10 AS page", "p_size * 100.0D AS left", "p_size * 100.0D + 150 AS right", "1.0D AS top", "1.0D + p_size % 5 AS bottom")
-    p = lineitem.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey % 10 AS page", "cast(floor(l_extendedprice / 20) AS DOUBLE) AS x", "cast(l_linenumber AS DOUBLE) AS y").distinct()
-    return G.in_boxes(p, b, "page", 500.0, ["l_orderkey", "l_linenumber", "l_partkey", "page", "x", "y"]).where("box_id IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", "box_id")
-
-
-#: The same over all boxes.
 @add("""WITH b AS (SELECT p_partkey AS box_id, p_partkey % 10 AS page, p_size * 100.0 AS "left", p_size * 100.0 + 150 AS "right", 1.0 AS top, 1.0 + p_size % 5 AS bottom FROM part),
   p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey % 10 AS page, floor(l_extendedprice / 20) AS x, l_linenumber::DOUBLE AS y FROM lineitem),
   h AS (SELECT l_orderkey, l_linenumber, l_partkey, box_id, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, p.page, x ORDER BY ("right" - "left") * (bottom - top), box_id) AS r FROM (SELECT DISTINCT * FROM p) p JOIN b ON p.page = b.page AND x BETWEEN "left" AND "right" AND y BETWEEN top AND bottom)
   SELECT l_orderkey, l_linenumber, l_partkey, box_id FROM h WHERE r = 1""", "part", "lineitem")
-def merged_ranges_whole(part: DataFrame, lineitem: DataFrame) -> DataFrame:
+def merged_ranges(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     b = part.selectExpr("p_partkey AS box_id", "p_partkey % 10 AS page", "p_size * 100.0D AS left", "p_size * 100.0D + 150 AS right", "1.0D AS top", "1.0D + p_size % 5 AS bottom")
     p = lineitem.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey % 10 AS page", "cast(floor(l_extendedprice / 20) AS DOUBLE) AS x", "cast(l_linenumber AS DOUBLE) AS y").distinct()
     return G.in_boxes(p, b, "page", 500.0, ["l_orderkey", "l_linenumber", "l_partkey", "page", "x", "y"]).where("box_id IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", "box_id")
@@ -54,10 +43,10 @@ def ocr_gaps(lineitem: DataFrame) -> DataFrame:
     return g.where("l_returnflag = 'A'").join(shown, ["page", "cx", "cy", "l_linenumber"], "left_anti").select("l_orderkey", "l_linenumber")
 
 
-@add("""WITH d AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS idx FROM (SELECT DISTINCT p_type FROM part)), c AS (SELECT l_orderkey, l_linenumber, l_partkey % 7 AS idx FROM lineitem) SELECT l_orderkey, l_linenumber, p_type AS text FROM c LEFT JOIN d USING (idx)""", "part", "lineitem")
+@add("""WITH d AS (SELECT p_type, row_number() OVER (ORDER BY p_type) - 1 AS idx FROM (SELECT DISTINCT p_type FROM part)), c AS (SELECT l_orderkey, l_linenumber, l_partkey % 200 AS idx FROM lineitem) SELECT l_orderkey, l_linenumber, p_type AS text FROM c LEFT JOIN d USING (idx)""", "part", "lineitem")
 def shared_strings(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     table = part.select("p_type").distinct().withColumn("idx", (F.row_number().over(Window.orderBy("p_type")) - 1).cast("long"))  # a table of strings is bounded by its file
-    return lineitem.withColumn("idx", F.col("l_partkey") % 7).join(table, "idx", "left").select("l_orderkey", "l_linenumber", F.col("p_type").alias("text"))
+    return lineitem.withColumn("idx", F.col("l_partkey") % 200).join(table, "idx", "left").select("l_orderkey", "l_linenumber", F.col("p_type").alias("text"))
 
 
 @add("""WITH t AS (SELECT l_suppkey, count(*) AS cells, count(DISTINCT l_orderkey) AS rows, count(DISTINCT l_linenumber) AS cols, avg(CASE WHEN l_returnflag = 'N' THEN 1.0 ELSE 0.0 END) AS filled FROM lineitem GROUP BY 1)

@@ -88,7 +88,9 @@ def date_text() -> str:
 
 
 ORDER = "CASE l_returnflag WHEN 'A' THEN 'MDY' WHEN 'N' THEN 'DMY' ELSE 'ANY' END"
-dual("parse_dates", "lineitem", lambda d: [KEY | {"fallback": ORDER, "t": date_text()}, KEY | {"t": "t", "proof": D.order_proof("t", d), "day": D.parse("t", "fallback", d)}, KEY | {"t": "t", "proof": "proof", "serial": f"cast({d.days('day')} AS INT)"}])
+dual("parse_dates", "lineitem", lambda d: [
+    KEY | {"fallback": ORDER, "t": date_text()}, KEY | {"t": "t", "fallback": "fallback", "p": D.parts("t", d)}, KEY | {"t": "t", "p": "p", "proof": D.proof_of("p", d), "way": D.way_of("p", "fallback", d)},
+    KEY | {"t": "t", "proof": "proof", "day": D.date_of("p", "way", d), "part": D.time_of("t", d)}, KEY | {"t": "t", "proof": "proof", "day": D.guarded("day"), "part": "part"}, KEY | {"t": "t", "proof": "proof", "serial": f"{d.days('day')} + part"}])
 dual("parse_clocks", "lineitem", lambda d: [
     KEY | {"t": "CASE l_linenumber % 4 WHEN 0 THEN concat(cast(l_linenumber % 12 + 1 AS VARCHAR(9)), ':', lpad(cast(cast(l_quantity AS INT) AS VARCHAR(9)), 2, '0'), ' PM') WHEN 1 THEN concat(cast(cast(l_quantity AS INT) % 30 AS VARCHAR(9)), ':15') WHEN 2 THEN '14:30:59' ELSE '9 am' END"},
     KEY | {"t": "t", "part": f"round({D.clock('t', d)}, 9)"}])
@@ -105,19 +107,14 @@ def _each_line(f: Callable[[str], str], d: Spark, text: str = "text", between: s
 
 dual("visible_text", "documents", lambda d: [DOC | {"shown": d.chars(X.visible("text", d))}])
 dual("clean_text", "documents", lambda d: [DOC | {"kept": d.chars(X.clean("text", d))}])
-dual("signature_norm", "documents", lambda d: [DOC | {"sig": X.signature(d.extract("text", r"^[ -~]*", 0), d)}])
 dual("trim_marks", "part", lambda d: [{"p_partkey": "p_partkey", "word": X.trim_marks("concat(p_name, CASE p_size % 3 WHEN 0 THEN ',;' WHEN 1 THEN '!?\"' ELSE '' END)", d)}])
 dual("page_tokens", "orders", lambda d: [{"o_orderkey": "o_orderkey", "number": X.page_token("CASE o_orderkey % 4 WHEN 0 THEN concat('- ', cast(o_orderkey AS VARCHAR(20)), ' -') WHEN 1 THEN concat('(', cast(o_custkey AS VARCHAR(20)), ')') WHEN 2 THEN o_orderpriority ELSE cast(o_custkey AS VARCHAR(20)) END", d)}])
-dual("markdown_escape", "documents", lambda d: [DOC | {"t": d.extract("text", r"^[^\n]*", 0)}, DOC | {"shown": X.line_guard(X.markdown("t", d), d)}])
-dual("csv_quote", "documents", lambda d: [DOC | {"t": d.extract("text", r"^[^\n]*", 0)}, DOC | {"field": X.csv_quote("t", d)}])
 dual("csv_inert", "lineitem", lambda d: [KEY | {"t": "CASE l_linenumber % 7 WHEN 0 THEN concat('=A', l_returnflag) WHEN 1 THEN '-1,250.5' WHEN 2 THEN concat('-', l_linestatus) WHEN 3 THEN '-' WHEN 4 THEN '@cmd' WHEN 5 THEN '+12%' ELSE l_returnflag END"}, KEY | {"field": X.inert("t", d)}])
 dual("xml_escape", "pages", lambda d: [{"page_id": "page_id", "n": d.chars(X.xml("html", d))}])
-dual("leaders", "documents", lambda d: [DOC | {"dots": X.leaders("concat(substring(text, 1, 20), CASE doc_id % 3 WHEN 0 THEN '. . . . . . . . . . . .' WHEN 1 THEN '........' ELSE '____________' END)", d)}])
-# The same rules over whole texts: on every line, and a field of all lines.
-dual("signature_lines", "documents", lambda d: [DOC | {"sigs": _each_line(lambda x: X.signature(x, d), d)}])
-dual("markdown_lines", "documents", lambda d: [DOC | {"shown": _each_line(lambda x: X.line_guard(X.markdown(x, d), d), d)}])
-dual("csv_texts", "documents", lambda d: [DOC | {"field": X.csv_quote("text", d)}])
-dual("leader_lines", "documents", lambda d: [
+dual("signature_norm", "documents", lambda d: [DOC | {"sigs": _each_line(lambda x: X.signature(x, d), d)}])
+dual("markdown_escape", "documents", lambda d: [DOC | {"shown": _each_line(lambda x: X.line_guard(X.markdown(x, d), d), d)}])
+dual("csv_quote", "documents", lambda d: [DOC | {"field": X.csv_quote("text", d)}])
+dual("leaders", "documents", lambda d: [
     DOC | {"t": "concat(text, CASE doc_id % 3 WHEN 0 THEN '. . . . . . . . . . . .' WHEN 1 THEN '........' ELSE '____________' END)"},
     DOC | {"dots": _each_line(lambda x: f"CASE WHEN {X.leaders(x, d)} THEN '1' ELSE '0' END", d, "t", "''")}])
 dual("heading_levels", "lineitem", lambda d: [KEY | {"style": "CASE l_linenumber % 3 WHEN 0 THEN concat('Heading', cast(l_linenumber AS VARCHAR(9))) WHEN 1 THEN concat('Heading ', cast(l_linenumber AS VARCHAR(9))) ELSE 'Title' END"}, KEY | {"level": X.heading_level("style", d)}])

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import re
 import struct
 import zipfile
 from collections.abc import Callable, Iterator
@@ -95,27 +96,27 @@ def decode(raw: bytes) -> tuple[str, str]:
 
 
 def csv_rows(text: str, mark: str = ",") -> Iterator[list[str]]:
-    """Rows of separated values. A quote opens a field only at its start; one that never closes is an ordinary character;
-    after a closing quote the rest of the field is taken as it stands."""
+    """Rows of separated values. A field is quoted if, but for spaces at its ends, it is a quote, anything with quotes doubled,
+    and a quote; every other field is kept as it is written, with its quotes."""
+    stops = re.compile(f"[{re.escape(mark)}\r\n]")
     i, n = 0, len(text)
     while i < n:
         row: list[str] = []
         while True:
-            start = i
             lead = i
             while lead < n and text[lead] == " ":
                 lead += 1
             end = _closing(text, lead) if lead < n and text[lead] == '"' else -1
-            if end >= 0:
-                stop = end + 1
-                while stop < n and text[stop] not in mark + "\r\n":
-                    stop += 1
-                row.append(text[lead + 1 : end].replace('""', '"') + text[end + 1 : stop].rstrip(" "))
+            after = end + 1
+            while 0 <= end and after < n and text[after] == " ":
+                after += 1
+            if end >= 0 and (after == n or stops.match(text, after)):
+                row.append(text[lead + 1 : end].replace('""', '"'))
+                stop = after
             else:
-                stop = start
-                while stop < n and text[stop] not in mark + "\r\n":
-                    stop += 1
-                row.append(text[start:stop])
+                found = stops.search(text, i)
+                stop = found.start() if found else n
+                row.append(text[i:stop])
             i = stop
             if i < n and text[i] == mark:
                 i += 1
@@ -128,7 +129,7 @@ def csv_rows(text: str, mark: str = ",") -> Iterator[list[str]]:
             i += 2
         elif i < n and text[i] in "\r\n":
             i += 1
-        yield row[:MAX_COLUMNS]
+        yield row
 
 
 def _closing(text: str, start: int) -> int:

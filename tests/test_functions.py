@@ -11,10 +11,14 @@ NUMBERS = [
     ("1,234.56", "ANY", 1234.56), ("1.234,56", "ANY", 1234.56), ("1 234 567", "ANY", 1234567), ("1'234.50", "ANY", 1234.5), ("12,34,567.89", "ANY", 1234567.89), ("42", "ANY", 42), ("12,5", "ANY", 12.5),
     ("(1,234)", "ANY", -1234), ("($1,234.56)", "ANY", -1234.56), ("€ 9.308,03", "ANY", 9308.03), ("12.5%", "ANY", 0.125), ("12,5 %", "ANY", 0.125), ("+5.2%", "ANY", 0.052), ("1,234.00-", "ANY", -1234),
     ("1,234", "ANY", 1234), ("1,234", "POINT", 1234), ("1,234", "COMMA", 1.234), ("1.234", "COMMA", 1234), ("12,5", "POINT", None), ("12.5", "COMMA", None),
+    ("0.123", "ANY", 0.123), ("0.123", "COMMA", 0.123), ("0,123", "POINT", 0.123), (".75", "ANY", 0.75), (",5", "COMMA", 0.5), ("1 234,5", "POINT", None), ("1 234,5", "COMMA", 1234.5), ("1 234.5", "COMMA", None), ("1’234", "ANY", 1234),
+    ("₩ 1,000", "ANY", 1000), ("CAD 5", "ANY", 5), ("5 zł", "ANY", 5), ("1\u20021", "ANY", None), ("1\u2003000", "ANY", 1000), ("Rs. 12,34,567", "ANY", 1234567), ("$(1,234)", "ANY", -1234), ("NZ$-7", "ANY", -7), ("12 Kč", "ANY", 12), ("CAD5", "ANY", None), ("1'234,5", "ANY", None), ("1.234", "ANY", 1.234), ("1.234.567", "ANY", 1234567),
     ("02134", "ANY", None), ("007", "ANY", None), ("0123.45", "ANY", None), ("123456789012", "ANY", None), ("555-1234", "ANY", None), ("1.2.3", "ANY", None), ("192.168.0.1", "ANY", None), ("3/4", "ANY", None), ("1e5", "ANY", None), ("5-", "ANY", None), ("4 111 1111 1111 1111", "ANY", None),
 ]
 DATES = [
     ("2024-01-05", "ANY", "2024-01-05"), ("05.01.2024", "ANY", "2024-01-05"), ("5 Jan 2024", "ANY", "2024-01-05"), ("05-Jan-24", "ANY", "2024-01-05"), ("January 5, 2024", "ANY", "2024-01-05"), ("01/05/2024", "ANY", None),
+    ("2024-03-05 10:20", "ANY", "2024-03-05"), ("03.25.2024", "ANY", "2024-03-25"), ("03.04.2024", "MDY", "2024-03-04"), ("03.04.2024", "ANY", "2024-04-03"), ("Mar 2024", "ANY", "2024-03-01"), ("3. Mar 2024", "ANY", "2024-03-03"), ("March 3 2024", "ANY", "2024-03-03"), ("3 Sept. 2024", "ANY", "2024-09-03"),
+    ("2024/3-5", "ANY", None), ("3 Mar-2024", "ANY", None), ("5/6/24 7:08 p.m.", "DMY", "2024-06-05"), ("3 Mar 2024 10:00", "ANY", None), ("13/13/2024", "DMY", None), ("2024-02-30", "ANY", None), ("1 May 29", "ANY", "2029-05-01"), ("1 May 30", "ANY", "1930-05-01"),
     ("01/05/2024", "MDY", "2024-01-05"), ("05/01/2024", "DMY", "2024-01-05"), ("25/12/2024", "ANY", "2024-12-25"), ("12/25/2024", "ANY", "2024-12-25"), ("31/02/2024", "ANY", None), ("1899-12-31", "ANY", None), ("03/03/2024", "ANY", "2024-03-03"),
 ]
 
@@ -51,8 +55,8 @@ def test_dates(spark, duck):
 
 
 def test_clocks(spark, duck):
-    a, b = both(spark, duck, [("2:30 PM",), ("14:30",), ("25:00",), ("12:15 am",)], ["t"], [("c", lambda d: D.clock("t", d))])
-    assert [x and round(float(x), 6) for x in a] == [x and round(float(x), 6) for x in b] == [round(14.5 / 24, 6), round(14.5 / 24, 6), None, round(0.25 / 24, 6)]
+    a, b = both(spark, duck, [("2:30 PM",), ("14:30",), ("25:00",), ("12:15 am",), ("2:30 p.m.",), ("0:10 pm",)], ["t"], [("c", lambda d: D.clock("t", d))])
+    assert [x and round(float(x), 6) for x in a] == [x and round(float(x), 6) for x in b] == [round(14.5 / 24, 6), round(14.5 / 24, 6), None, round(0.25 / 24, 6), round(14.5 / 24, 6), None]
 
 
 def test_markers(spark, duck):

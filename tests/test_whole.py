@@ -1,4 +1,4 @@
-"""Queries over all rows and whole texts, where those they stand beside take a part."""
+"""Queries over all rows and whole texts against brute force."""
 
 import random
 from collections import defaultdict
@@ -33,7 +33,7 @@ def test_components_of_all_orders(spark):
     rows = chain + hub + rest
     orders = spark.createDataFrame(rows, "o_custkey long, o_orderkey long")
     assert {r.node: r.root for r in D.components_chained(orders).collect()} == roots(rows)
-    assert {r.node: r.root for r in D.components_whole(orders).collect()} == roots([(a, -b) for a, b in rows])
+    assert {r.node: r.root for r in D.components(orders).collect()} == roots([(a, -b) for a, b in rows])
 
 
 def test_all_boxes_are_looked_up(spark):
@@ -47,7 +47,7 @@ def test_all_boxes_are_looked_up(spark):
         hit = [((r - l) * (b - t), i) for i, page, l, r, t, b in boxes if page == s % 10 and l <= x <= r and t <= n <= b]
         if hit:
             want.add((o, n, p, min(hit)[1]))
-    got = M.merged_ranges_whole(spark.createDataFrame(part, "p_partkey long, p_size int"), spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double"))
+    got = M.merged_ranges(spark.createDataFrame(part, "p_partkey long, p_size int"), spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double"))
     assert {tuple(r) for r in got.collect()} == want and any(i % 25 for *_, i in want)
 
 
@@ -64,9 +64,9 @@ def test_tables_of_many_cells():
 def test_texts_are_taken_whole(spark, tmp_path):
     texts = ["Page 12\nété 3 of 40\n xii ", '# a*b\n1. c\n> d\né #', 'one\r\ntwo "x"', "plain", "-" * 20_000 + "\nx\n. . . . . . . . . . .\ny", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {q: [r[1] for r in plans.queries()[q](spark, str(tmp_path)).orderBy("doc_id").collect()] for q in ("signature_lines", "markdown_lines", "csv_texts", "leader_lines")}
-    assert got["signature_lines"][0] == "page #\nété # of #\n#"
-    assert got["markdown_lines"][1] == "\\# a\\*b\n1\\. c\n\\> d\né #"
-    assert got["csv_texts"][2:4] == ['"one\r\ntwo ""x"""', "plain"]
-    assert [len(x) for x in got["leader_lines"][:4]] == [3, 4, 2, 1] and got["leader_lines"][4] == "1010"  # eight dots are too few
+    got = {q: [r[1] for r in plans.queries()[q](spark, str(tmp_path)).orderBy("doc_id").collect()] for q in ("signature_norm", "markdown_escape", "csv_quote", "leaders")}
+    assert got["signature_norm"][0] == "page #\nété # of #\n#"
+    assert got["markdown_escape"][1] == "\\# a\\*b\n1\\. c\n\\> d\né #"
+    assert got["csv_quote"][2:4] == ['"one\r\ntwo ""x"""', "plain"]
+    assert [len(x) for x in got["leaders"][:4]] == [3, 4, 2, 1] and got["leaders"][4] == "1010"  # eight dots are too few
     assert all(x[5] is None for x in got.values())
