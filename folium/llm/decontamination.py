@@ -81,7 +81,7 @@ class Index:
             for size, found in sizes.items():
                 index, least = np.array([i for i, _ in found], np.int32), np.array([m for _, m in found])
                 order = np.argsort(least, axis=0)
-                seen = np.zeros((hashes, min(FILTER, 1 << (8 * len(found)).bit_length())), bool)
+                seen = np.zeros((hashes, min(FILTER, 1 << (64 * len(found)).bit_length())), bool)
                 seen[np.arange(hashes), (least & H.U(seen.shape[1] - 1)).astype(np.int64)] = True
                 self.classes[k][size] = [(np.ascontiguousarray(least[order[:, j], j]), index[order[:, j]], seen[j]) for j in range(hashes)]
 
@@ -117,9 +117,11 @@ class Index:
                 pair = owner[1:] == owner[:-1]
                 window[:-1][pair] = np.minimum(least[:-1], least[1:])[pair]
                 values, items, seen = sizes[want][j]
-                for i in np.flatnonzero(seen[(window & H.U(len(seen) - 1)).astype(np.int64)]).tolist():
-                    lo, hi = np.searchsorted(values, window[i], "left"), np.searchsorted(values, window[i], "right")
-                    out.update((int(owner[i]), int(x)) for x in items[lo:hi])
+                near = np.flatnonzero(seen[(window & H.U(len(seen) - 1)).astype(np.int64)])
+                lo, hi = np.searchsorted(values, window[near], "left"), np.searchsorted(values, window[near], "right")
+                for i, a, b in zip(owner[near].tolist(), lo.tolist(), hi.tolist()):
+                    if a < b:
+                        out.update((i, x) for x in items[a:b].tolist())
 
     def search(self, texts: list[str], threshold: float) -> list[list[tuple[int, float]]]:
         """For every text the (item id, containment) pairs that reach the threshold."""
