@@ -175,16 +175,13 @@ def _meet(rows: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ca, cb), each once, with j, the weighted Jaccard similarity."""
+    """pairs (a, b, ca, cb), each once, with j, the weighted Jaccard similarity. Both sets of a pair move to the task of the pair, so a pivot of many pairs is no hot key."""
     pairs = cut(pairs)
-    n = pairs.count()
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if 2 * n <= BROADCAST_IDS:  # only sets that are compared move
-        sets = sets.join(F.broadcast(ids), "id", "left_semi")
-    left = _look_up(pairs, sets.select(F.col("id").alias("a"), F.col("cells").alias("x")), "a", "b", _counted(pairs, "a"), n)
-    both = _look_up(left, sets.select(F.col("id").alias("b"), F.col("cells").alias("y")), "b", "a", _counted(pairs, "b"), n)
+    near = F.broadcast(pairs) if pairs.count() <= BROADCAST_IDS else pairs
+    left = sets.withColumnRenamed("id", "a").join(near, "a").select("a", "b", "ca", "cb", F.col("cells").alias("x"))
+    right = sets.withColumnRenamed("id", "b").join(near, "b").select("a", "b", F.col("cells").alias("y"))
     same = F.size(F.array_intersect("x", "y"))
-    out = cut(both.select("a", "b", "ca", "cb", (same / (F.size("x") + F.size("y") - same)).alias("j")))
+    out = cut(left.join(right, ["a", "b"]).select("a", "b", "ca", "cb", (same / (F.size("x") + F.size("y") - same)).alias("j")))
     forget(pairs)
     return out
 
@@ -240,8 +237,9 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float =
     texts = cut(texts.withColumn("id", F.monotonically_increasing_id()))
     spread = texts.select(F.explode("keys").alias("key"), "id", F.col("n").cast("long").alias("n"), F.col("n").cast("long").alias("match"), F.col("id").alias("comp"))
     rows_in = _unsettled(cut(spread))
-    sets = cut(_sets(docs, texts.select("id", "text_key", "doc_id").join(rows_in.select("id").distinct(), "id"), id_col, text_col, shingle))
-    if sets.count() > sets.select("id").distinct().count():  # rows equal in id and text
+    nodes = cut(texts.select("id", "text_key", "doc_id").join(rows_in.select("id").distinct(), "id"))
+    sets = cut(_sets(docs, nodes, id_col, text_col, shingle))
+    if sets.count() > nodes.count():  # rows equal in id and text
         sets, more = cut(sets.dropDuplicates(["id"])), sets
         forget(more)
     loose = 1 - 2 * (1 - threshold) - 1e-9  # a row at the very bound is put on both sides
@@ -279,7 +277,7 @@ def _classified(docs: DataFrame, id_col: str, text_col: str, threshold: float =
         forget(rows_in, measured, pivots)
         rows_in = _unsettled(left)
         turn += 1
-    forget(rows_in, sets)
+    forget(rows_in, sets, nodes)
     links = found[0] if found else texts.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
     for more in found[1:]:
         links = links.unionByName(more)
