@@ -64,3 +64,34 @@ def test_ruled_tables(spark):
     assert [(r.page, r.xs, r.ys) for r in got] == [(1, [0.0, 100.0, 200.0], [0.0, 20.0, 40.0])]
     assert sorted((r.row, r.col, r.text) for r in detect.table_cells(tables, words, "page").collect()) == [(0, 0, "a b"), (0, 1, "c"), (1, 1, "d")]
     assert [r.text for r in detect.free_words(tables, words, "page").collect()] == ["out"]
+
+
+def test_chapters_by_size(spark):
+    rows = [("d", 0, False, 40), ("d", 1, False, 70), ("d", 2, True, 10), ("d", 3, False, 20), ("d", 4, False, 95), ("e", 0, True, 500), ("e", 1, False, 1)]
+    got = layout.chapters_by_size(spark.createDataFrame(rows, "doc string, place int, heading boolean, chars int"), 100).collect()
+    assert {(r.doc, r.place): r.chapter for r in got} == {("d", 0): 0, ("d", 1): 1, ("d", 2): 2, ("d", 3): 2, ("d", 4): 3, ("e", 0): 0, ("e", 1): 1}
+
+
+def test_key_values(spark):
+    rows = [("d", r, x) for r, x in [(0, 100.0), (1, 101.5), (2, 102.0), (3, 102.5), (0, 300.0), (1, 301.0), (1, 300.5)]]
+    got = layout.key_values(spark.createDataFrame(rows, "doc string, row int, x double")).collect()
+    assert [tuple(r) for r in got] == [("d", 100.0, 3)]  # 102.5 begins a cluster of its own, 300 has two rows
+
+
+def test_row_groups(spark):
+    rows = [("d", i, top, 8.0) for i, top in enumerate([0.0, 10.0, 40.0, 50.0, 90.0])] + [("e", 0, 5.0, 8.0)]
+    got = layout.row_groups(spark.createDataFrame(rows, "doc string, place int, top double, size double")).collect()
+    assert {(r.doc, r.place): r.row for r in got} == {("d", 0): 0, ("d", 1): 0, ("d", 2): 1, ("d", 3): 1, ("d", 4): 2, ("e", 0): 0}
+
+
+def test_polynomial_trend(spark):
+    import numpy as np
+
+    from folium.operators import charts
+
+    rnd = np.random.default_rng(1)
+    rows = [("a", float(x), float(2 - x + 0.5 * x**3 + rnd.normal())) for x in range(-6, 7)] + [("b", 1.0, 2.0), ("b", 2.0, 3.0)]
+    got = {r.k: r for r in charts.polynomial_trend(spark.createDataFrame(rows, "k string, x double, y double"), ["k"], "x", "y", 3).collect()}
+    want = np.polynomial.polynomial.polyfit([x for k, x, _ in rows if k == "a"], [y for k, _, y in rows if k == "a"], 3)
+    assert np.allclose([got["a"][f"c{k}"] for k in range(4)], want, atol=1e-6)
+    assert got["b"].c0 is None or got["b"].c0 != got["b"].c0
