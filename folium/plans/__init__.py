@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folium.plans import cases, documents, markup, more, ranges, scalars
+from folium.plans import cases, documents, markup, more, ranges, scalars, sources
 
-CATALOGUES = [ranges.catalogue, scalars.catalogue, documents.catalogue, markup.catalogue, more.catalogue, cases.catalogue]
+CATALOGUES = [ranges.catalogue, scalars.catalogue, documents.catalogue, markup.catalogue, more.catalogue, cases.catalogue, sources.catalogue]
 
 
 def queries() -> dict:
