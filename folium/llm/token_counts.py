@@ -24,6 +24,7 @@ import os
 import unicodedata
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -36,7 +37,6 @@ from folium.llm.arrow import mapped, over
 LIMIT = 2048
 TABLE_WORDS = 600_000
 TABLE_PAIRS = 400_000
-SHORT, TABLE_PREFIXES = 5, 200_000
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 UNSURE = regex.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
 #: Words that are their own byte letters.
@@ -46,6 +46,8 @@ BLANKS = regex.compile(r"[\t\n\r ]+")
 #: Before words of the table that are in byte letters.
 SPELLED = "\0"
 END = "</w>"
+#: Stands for the end of a word where tokens are searched for; no byte letter is it.
+STOP = "\0"
 NEVER = 1 << 60
 
 
@@ -72,9 +74,15 @@ class Counter:
         self.tokens = {t for t in found if len(_letters(t)) == 1 or merge(_letters(t), self.ranks) == [t]}
         self.parts = {a + b: (a, b) for a, b in self.ranks}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.pairs: dict[tuple[str, str], bool] = {}
-        #: Last token and count of prefixes of up to SHORT letters, which many words share.
-        self.known: dict[str, tuple[str, int]] = {}
+        #: For each token, whether it stays apart from what stands before it.
+        self.before: dict[str, dict[str, bool]] = {t: {} for t in self.tokens}
+        self.pairs = 0
+        #: Finds the tokens that end at each place of a word, the longest first.
+        self.finder = ahocorasick.Automaton()
+        for t in self.tokens - {END}:
+            key = t[: -len(END)] + STOP if t.endswith(END) else t
+            self.finder.add_word(key, (len(key), t, self.before[t]))
+        self.finder.make_automaton()
         self.table: dict[str, int] = {}
         self.older: dict[str, int] = {}
         self.table_words = table_words
@@ -96,10 +104,13 @@ class Counter:
 
     def _fits(self, a: str, b: str) -> bool:
         """Whether a and b stay apart when their letters are merged: no pair over the border is ever next, of equal ranks the leftmost being first."""
-        got = self.pairs.get((a, b))
+        got = self.before[b].get(a)
         if got is None:
-            if len(self.pairs) > TABLE_PAIRS:
-                self.pairs.clear()
+            if self.pairs == TABLE_PAIRS:
+                self.pairs = 0
+                for known in self.before.values():
+                    known.clear()
+            self.pairs += 1
             xs, ys, i, j = self._edge(a, 1), self._edge(b, 0), 0, 0
             while True:
                 (x, grow_x), (y, grow_y) = xs[i], ys[j]
@@ -115,7 +126,7 @@ class Counter:
                     j += 1
                     continue
                 break
-            self.pairs[a, b] = got
+            self.before[b][a] = got
         return got
 
     def _ended(self, word: str, i: int, last: list[str], count: list[int]) -> int:
@@ -126,23 +137,21 @@ class Counter:
         raise ValueError(f"no token ends {word[:i]!r}")
 
     def prefixes(self, word: str) -> tuple[list[str], list[int]]:
-        """For a word of byte letters: the last token and the token count of each prefix that goes on, from length 0 on."""
-        tokens, fits, known, last, count = self.tokens, self._fits, self.known, [""], [0]
-        for i in range(1, len(word)):
-            if i <= SHORT and (found := known.get(word[:i])) is not None:
-                last.append(found[0])
-                count.append(found[1])
+        """For a word of byte letters: the last token and the token count of each prefix that goes on, from length 0 on; with STOP behind it also those of the whole word."""
+        fits, last, count, done = self._fits, [""], [0], -1
+        for end, (size, piece, before) in self.finder.iter(word):
+            if end == done:
                 continue
-            for j in range(max(0, i - self.longest), i):
-                piece = word[j:i]
-                if piece in tokens and (not j or fits(last[j], piece)):
-                    last.append(piece)
-                    count.append(count[j] + 1)
-                    break
-            if i <= SHORT:
-                known[word[:i]] = last[i], count[i]
-        if len(known) > TABLE_PREFIXES:
-            known.clear()
+            j = end + 1 - size
+            if j:
+                ok = before.get(last[j])
+                if not (fits(last[j], piece) if ok is None else ok):
+                    continue
+            last.append(piece)
+            count.append(count[j] + 1)
+            done = end
+        if len(last) != len(word) + 1:
+            raise ValueError(f"no token ends at a place of {word!r}")
         return last, count
 
     def word_counts(self, word: str) -> list[int]:
@@ -151,7 +160,7 @@ class Counter:
         return [self._ended(word, i, last, count) for i in range(1, len(word) + 1)]
 
     def word_count(self, word: str) -> int:
-        return 1 if word + END in self.tokens else self._ended(word, len(word), *self.prefixes(word))
+        return 1 if word + END in self.tokens else self.prefixes(word + STOP)[1][-1]
 
     # words of a text
 
