@@ -10,6 +10,7 @@ from folium.functions import numbers as N
 from folium.functions import text as X
 from folium.functions.dialect import DUCK, SPARK
 from folium.operators import corpus as C
+from folium.operators import detect
 from folium.operators import geometry as G
 from folium.operators import graph
 from folium.operators import tables as T
@@ -429,3 +430,27 @@ def column_width(lineitem: DataFrame) -> DataFrame:
 @add("SELECT source, count(DISTINCT lower(lang)) AS langs, count(*) AS docs FROM documents GROUP BY 1", "documents")
 def distinct_texts(documents: DataFrame) -> DataFrame:
     return documents.groupBy("source").agg(F.countDistinct(F.lower("lang")).alias("langs"), F.count(F.lit(1)).alias("docs"))
+
+
+@add("""WITH l AS (SELECT l_partkey AS page, l_orderkey * 10 + l_linenumber AS id, floor(l_extendedprice)::BIGINT % 400 AS b, l_quantity AS q, l_linenumber % 2 = 0 AS wide, l_returnflag = 'R' AND l_linestatus = 'F' AS running, l_returnflag = 'A' AND l_linenumber = 1 AS flow, concat('w', l_suppkey) AS text FROM lineitem WHERE l_quantity * 2 + 6 <= 94),
+  n AS (SELECT *, CASE WHEN b - lag(b) OVER (PARTITION BY page ORDER BY b, id) <= 2 THEN 0 ELSE 1 END AS new FROM l), g AS (SELECT *, sum(new) OVER (PARTITION BY page ORDER BY b, id ROWS UNBOUNDED PRECEDING) AS band FROM n),
+  w AS (SELECT page, band, x, text, CASE WHEN x + 3 < 30 THEN 0 WHEN x + 3 < 60 THEN 1 ELSE 2 END AS col FROM (SELECT page, band, q * 2 AS x, text FROM g UNION ALL SELECT page, band, q, '+' || text FROM g WHERE wide)),
+  c AS (SELECT *, (top + bottom) / 2 AS centre, CASE WHEN (top + bottom) / 2 < 100 THEN 'above' WHEN (top + bottom) / 2 > 180 THEN 'below' ELSE 'inside' END AS side FROM (
+    SELECT page, band, min(b) - 10 AS top, max(b) + 2 AS bottom, count(*) > 1 OR bool_or(wide) AS tab, bool_or(running) AS running, bool_or(flow) AS flow FROM g GROUP BY 1, 2) JOIN (SELECT page, band, count(DISTINCT col) AS filled FROM w GROUP BY 1, 2) USING (page, band)),
+  o AS (SELECT *, CASE side WHEN 'above' THEN -centre ELSE centre END AS far FROM c),
+  k AS (SELECT *, row_number() OVER z AS nth, CASE side WHEN 'inside' THEN true WHEN 'above' THEN coalesce(lag(top) OVER z, 100) - bottom <= 32 AND filled >= 2 AND tab AND NOT flow
+    ELSE top - coalesce(lag(bottom) OVER z, 180) <= 32 AND NOT (running AND (filled < 2 OR NOT tab)) AND NOT (flow AND filled < 2) END AS ok FROM o WINDOW z AS (PARTITION BY page, side ORDER BY far, band)),
+  h AS (SELECT *, min(ok::INT) OVER (PARTITION BY page, side ORDER BY far, band ROWS UNBOUNDED PRECEDING) AS kept FROM k),
+  m AS (SELECT *, sum((side = 'above')::INT) OVER (PARTITION BY page) AS more FROM h WHERE kept = 1),
+  r AS (SELECT page, band, side, CASE side WHEN 'above' THEN more - nth WHEN 'below' THEN more + 4 + nth - 1 ELSE more + CASE WHEN centre < 120 THEN 0 WHEN centre < 140 THEN 1 WHEN centre < 160 THEN 2 ELSE 3 END END::INT AS row FROM m)
+  SELECT page, side, row, col::INT AS col, string_agg(text, ' ' ORDER BY band, x, text) AS text FROM r JOIN w USING (page, band) GROUP BY 1, 2, 3, 4""", "part", "lineitem")
+def restored_rows(part: DataFrame, lineitem: DataFrame) -> DataFrame:
+    tables = part.select(F.col("p_partkey").alias("page"), F.lit(0).alias("box_id"), F.array(*[F.lit(v) for v in (0.0, 30.0, 60.0, 90.0)]).alias("xs"), F.array(*[F.lit(v) for v in (100.0, 120.0, 140.0, 160.0, 180.0)]).alias("ys"))
+    word = lambda x, text: F.struct(x.cast("double").alias("x"), (x + 6).cast("double").alias("right"), text.alias("text"))
+    q, base, wide = F.col("l_quantity"), (F.floor("l_extendedprice") % 400).cast("double"), F.col("l_linenumber") % 2 == 0
+    lines = lineitem.select(
+        F.col("l_partkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"), (base - 10).alias("top"), (base + 2).alias("bottom"), base.alias("baseline"),
+        F.when(wide, F.array(word(q, F.concat(F.lit("+w"), "l_suppkey")), word(q * 2, F.concat(F.lit("w"), "l_suppkey")))).otherwise(F.array(word(q * 2, F.concat(F.lit("w"), "l_suppkey")))).alias("words"),
+        wide.alias("wide"), F.expr("l_returnflag = 'R' AND l_linestatus = 'F'").alias("running"), F.expr("l_returnflag = 'A' AND l_linenumber = 1").alias("flow"),
+    )
+    return detect.restored_rows(tables, lines, "page").drop("box_id")

@@ -64,3 +64,14 @@ def encodings(nation: DataFrame) -> DataFrame:
             yield f[["path"]].assign(encoding=[g[1] for g in got], text=[g[0] for g in got])
 
     return made.mapInPandas(run, "path string, encoding string, text string")
+
+
+@add(r"""WITH s AS (SELECT s_suppkey::VARCHAR AS path, s_name, s_nationkey, s_suppkey FROM supplier)
+  SELECT path, 0 AS place, 'paragraph' AS kind, 'heading 1' AS style, s_name AS text FROM s
+  UNION ALL SELECT path, 1, 'paragraph', 'Normal', 'Привет € {' || s_nationkey || '}' || chr(9) || '—' FROM s
+  UNION ALL SELECT path, 2, 'row', NULL, 'Key' || chr(9) || s_suppkey FROM s""", "supplier")
+def rich_texts(supplier: DataFrame) -> DataFrame:
+    head = r"{\\rtf1\\ansi\\ansicpg1252\\deff0{\\fonttbl{\\f0\\fcharset0 A;}{\\f1\\fcharset204 B;}}{\\stylesheet{\\s0 Normal;}{\\s1\\b heading 1;}}{\\info{\\title no}}"
+    body = r"\\pard\\s1 ', s_name, '\\par\\pard\\plain\\s0 {\\f1 \\\'cf\\\'f0\\\'e8\\\'e2\\\'e5\\\'f2} \\u8364?{\\v no} \\{', s_nationkey, '\\}\\tab\\emdash\\par\\pard\\intbl Key\\cell ', s_suppkey, '\\cell\\row\\pard}"
+    made = supplier.selectExpr("cast(s_suppkey AS STRING) AS path", f"cast(concat('{head}{body}') AS BINARY) AS content")
+    return files.read_blocks(made, files.rtf_blocks).select("path", "place", "kind", "style", "text")

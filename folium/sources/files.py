@@ -6,6 +6,7 @@ the task that reads it. Rows carry the file's path. What cannot be parsed gives
 
 from __future__ import annotations
 
+import codecs
 import datetime as dt
 import io
 import re
@@ -65,6 +66,22 @@ def read_cells(files: DataFrame, parse: Callable[[bytes], Iterator[Cell]]) -> Da
 # text
 
 
+def read_blocks(files: DataFrame, parse: Callable[[bytes], Iterator[tuple[int, str, str | None, str]]]) -> DataFrame:
+    """Blocks of all files by a parser that gives (place, kind, style, text)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for path, content in zip(f["path"], f["content"]):
+                try:
+                    rows += [(path, *b, None) for b in parse(bytes(content))]
+                except (ValueError, KeyError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                    rows.append((path, None, None, None, None, str(e)[:200]))
+            yield pd.DataFrame(rows, columns=["path", "place", "kind", "style", "text", "error"]).astype({"place": "Int32"})
+
+    return files.select("path", "content").mapInPandas(run, "path string, place int, kind string, style string, text string, error string")
+
+
 def decode(raw: bytes) -> tuple[str, str]:
     """Text and encoding: a byte order mark, else UTF-16 by its zero bytes, else strict UTF-8, else a vote of old code pages."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
@@ -440,6 +457,161 @@ def epub_spine(raw: bytes) -> Iterator[tuple[int, str, str]]:
         yield i, name, html_text(decode(p.zip.read(name))[0])
 
 
+# rich text
+
+# Code pages of font character sets, and the characters that control words stand for.
+CHARSETS = {0: "cp1252", 77: "mac_roman", 128: "cp932", 129: "cp949", 134: "gbk", 136: "big5", 161: "cp1253", 162: "cp1254", 163: "cp1258", 177: "cp1255", 178: "cp1256", 186: "cp1257", 204: "cp1251", 222: "cp874", 238: "cp1250"}
+RTF_CHARACTERS = {"tab": "\t", "line": "\n", "emdash": "—", "endash": "–", "emspace": " ", "enspace": " ", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "~": "\xa0", "_": "‑", "-": "\xad", "{": "{", "}": "}", "\\": "\\"}
+#: Groups whose text is not the body's.
+RTF_APART = {"colortbl", "info", "pict", "fldinst", "header", "headerl", "headerr", "headerf", "footer", "footerl", "footerr", "footerf", "footnote", "annotation", "listtext", "pntext", "nonshppict", "object", "filetbl", "revtbl", "listtable", "listoverridetable", "xe", "tc", "template"}
+RTF_TOKEN = re.compile(rb"\\([a-zA-Z]+)(-?[0-9]+)? ?|\\'([0-9a-fA-F]{2})|\\([^a-zA-Z])|([{}])|[\r\n\0]+|([^\\{}\r\n\0]+)", re.DOTALL)
+
+
+def rtf_blocks(raw: bytes) -> Iterator[tuple[int, str, str | None, str]]:
+    """(place, kind, style, text) of a rich text's paragraphs and table rows, whose cells are apart by tabs.
+
+    Hidden and deleted text and all destinations but the body are left out; bytes are read by the font's character set.
+    """
+    start = raw.lstrip(b"\xef\xbb\xbf \t\r\n")
+    if not start.startswith(b"{\\rtf"):
+        raise ValueError("not rich text")
+    page, fonts, styles = "cp1252", {}, {}
+    default, font_at, style_at = 0, 0, 0
+    state = {"to": "body", "font": None, "uc": 1, "hidden": False, "deleted": False, "table": False}
+    stack: list[dict] = []
+    text: list[str] = []
+    cells: list[str] = []
+    held, named, style, place, skip, starred, at, high = bytearray(), "", None, 0, 0, False, 0, ""
+
+    def put(s: str) -> None:
+        nonlocal named
+        if state["to"] == "body" and not state["hidden"] and not state["deleted"]:
+            text.append(s)
+        elif state["to"] in ("fonts", "styles"):
+            named += s
+            if ";" in named:
+                name = named.split(";")[0].strip()
+                if state["to"] == "styles":
+                    styles.setdefault(style_at, name)
+                named = ""
+
+    def flush() -> None:
+        if held:
+            font = state["font"] if state["font"] is not None else default
+            put(bytes(held).decode(fonts.get(font, page), "replace"))
+            held.clear()
+
+    def block(kind: str, shown: str) -> tuple[int, str, str | None, str]:
+        nonlocal place
+        place += 1
+        return place - 1, kind, styles.get(style) if kind == "paragraph" else None, shown
+
+    while at < len(start) and (m := RTF_TOKEN.match(start, at)):
+        at = m.end()
+        word, number, code, mark, brace, plain = m.groups()
+        if code or plain:
+            data = bytes.fromhex(code.decode()) if code else plain
+            gone = min(skip, len(data))
+            skip -= gone
+            held += data[gone:]
+            continue
+        if not (word or mark or brace):
+            continue
+        flush()
+        if brace:
+            skip = 0
+            if brace == b"{":
+                stack.append(dict(state))
+                starred = False
+            elif stack:
+                state = stack.pop()
+                if not stack:
+                    break
+            continue
+        name = (word or mark).decode("latin-1")
+        n = int(number) if number else None
+        if skip and name not in ("u", "bin"):
+            skip -= 1
+            continue
+        on = n != 0
+        if name == "*":
+            starred = True
+            continue
+        if name == "fonttbl":
+            state["to"] = "fonts"
+        elif name == "stylesheet":
+            state["to"] = "styles"
+        elif name in RTF_APART or (starred and name not in ("cs", "shppict")):
+            state["to"] = "apart"
+        elif name == "bin":
+            at += max(0, n or 0)
+        elif name == "ansicpg":
+            page = _page(n)
+        elif name == "deff":
+            default = n or 0
+        elif name == "f":
+            font_at = n or 0
+            if state["to"] != "fonts":
+                state["font"] = n
+        elif name == "fcharset" and state["to"] == "fonts" and n in CHARSETS:
+            fonts[font_at] = CHARSETS[n]
+        elif name == "cpg" and state["to"] == "fonts":
+            fonts[font_at] = _page(n)
+        elif name == "s":
+            style_at = n or 0
+            if state["to"] == "body":
+                style = n
+        elif name == "uc":
+            state["uc"] = max(0, n or 0)
+        elif name == "u":
+            unit = (n or 0) % 65536
+            if 0xD800 <= unit < 0xDC00:
+                high = chr(unit)
+            else:
+                put((high + chr(unit)).encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace"))
+                high = ""
+            skip = state["uc"]
+        elif name == "v":
+            state["hidden"] = on
+        elif name == "deleted":
+            state["deleted"] = on
+        elif name == "plain":
+            state.update(hidden=False, deleted=False, font=None)
+        elif name == "pard":
+            state["table"] = False
+            style = None
+        elif name == "intbl":
+            state["table"] = on
+        elif state["to"] == "body" and name in ("par", "sect", "page", "\n", "\r"):
+            if state["table"]:
+                text.append(" ")
+            else:
+                yield block("paragraph", "".join(text))
+                text.clear()
+        elif state["to"] == "body" and name in ("cell", "nestcell"):
+            cells.append("".join(text).strip())
+            text.clear()
+        elif state["to"] == "body" and name in ("row", "nestrow"):
+            yield block("row", "\t".join(cells))
+            cells.clear()
+        elif name in RTF_CHARACTERS:
+            put(RTF_CHARACTERS[name])
+        starred = False
+    flush()
+    if cells:
+        yield block("row", "\t".join(cells))
+    if "".join(text).strip():
+        yield block("paragraph", "".join(text))
+
+
+def _page(n: int | None) -> str:
+    """The codec of a code page's number; Western where there is none of it."""
+    try:
+        return codecs.lookup({65001: "utf-8", 10000: "mac_roman", 936: "gbk", 950: "big5"}.get(n or 1252, f"cp{n or 1252}")).name
+    except LookupError:
+        return "cp1252"
+
+
 # markup
 
 SKIPPED = {"script", "style", "template", "noscript", "head"}

@@ -95,3 +95,11 @@ def test_polynomial_trend(spark):
     want = np.polynomial.polynomial.polyfit([x for k, x, _ in rows if k == "a"], [y for k, _, y in rows if k == "a"], 3)
     assert np.allclose([got["a"][f"c{k}"] for k in range(4)], want, atol=1e-6)
     assert got["b"].c0 is None or got["b"].c0 != got["b"].c0
+
+
+def test_placed_cells(spark):
+    rows = [("t", 0, 0, 0, 1, 3, "a"), ("t", 1, 1, 1, 1, 1, "b"), ("t", 2, 1, 0, 2, 3, "c"), ("t", 3, 0, 2, 1, 1, "d"), ("t", 4, 0, 3, 3, 9, "e"), ("t", 5, 9, 0, 1, 1, "gone"), ("t", 6, 2, 0, 1, 1, None), ("u", 0, 0, 0, 0, 0, None)]
+    df = spark.createDataFrame(rows, "table string, place int, row int, col int, row_span int, col_span int, text string")
+    got = sorted(tuple(r) for r in layout.placed_cells(df, ["table"], 3, 5).collect())
+    assert got == [("t", 0, 0, 1, 3, "a\nd"), ("t", 0, 3, 3, 2, "e"), ("t", 1, 0, 2, 1, "c"), ("t", 1, 1, 1, 1, "b"), ("u", 0, 0, 1, 1, "")]
+    assert layout.placed_cells(df.limit(0), ["table"]).count() == 0

@@ -31,7 +31,7 @@ def plain(v):
 #: Queries that SQL does not follow, and the tests of what they do.
 TESTED = {
     "html_text": "test_sources.test_html", "html_tables": "test_whole.test_tables_of_many_cells", "paragraphs": "test_layout.test_paragraphs", "near_glyphs": "test_layout.test_glyphs", "components_chained": "test_whole.test_components_of_all_orders",
-    "chapters_by_size": "test_layout.test_chapters_by_size", "key_values": "test_layout.test_key_values", "row_groups": "test_layout.test_row_groups", "trend_poly": "test_layout.test_polynomial_trend",
+    "chapters_by_size": "test_layout.test_chapters_by_size", "key_values": "test_layout.test_key_values", "row_groups": "test_layout.test_row_groups", "trend_poly": "test_layout.test_polynomial_trend", "grid_placement": "test_layout.test_placed_cells",
 }
 #: At this scale no row is left: the tables hold no such case.
 NONE_HERE = set()

@@ -135,3 +135,14 @@ def test_packages():
     assert list(S.ods_cells(ods)) == [(0, 0, 0, "number", "2.5", 2.5), (0, 0, 4, "text", "x", None), (0, 1, 0, "number", "2.5", 2.5), (0, 1, 4, "text", "x", None)]
     epub = zipped(**{"META-INF__container_xml": '<c><rootfile full-path="b/p.opf"/></c>', "b__p_opf": '<p><item id="i" href="one.xhtml"/><itemref idref="i"/></p>', "b__one_xhtml": "<body><p>Hello</p></body>"})
     assert list(S.epub_spine(epub)) == [(0, "b/one.xhtml", "Hello")]
+
+
+def test_rich_text():
+    page = rb"{\rtf1\ansi{\fonttbl{\f0\fcharset0 A;}{\f3\fcharset204 C;}}{\stylesheet{\s0 Normal;}{\s2\b Big;}{\*\cs10 Em;}}{\*\generator x;}\pard\s2 Caf\'e9 {\f3\'c4\'e0}\u-10179\'3f\u-8704\'3f\uc2\u26085ab!\par" b"\r\n" rb"\pard\plain {\v hidden}{\deleted old}{\field{\*\fldinst HYPERLINK x}{\fldrslt link}}\line two{\pict\bin3 }}}}\par\trowd\intbl one\par more\cell{\b two}\cell\row\pard end}"
+    assert list(S.rtf_blocks(page)) == [(0, "paragraph", "Big", "Café Да😀日!"), (1, "paragraph", None, "link\ntwo"), (2, "row", None, "one more\ttwo"), (3, "paragraph", None, "end")]
+    assert list(S.rtf_blocks(b"{\\rtf1}")) == []
+
+
+def test_rich_text_files(spark):
+    files = spark.createDataFrame([("a", bytearray(b"{\\rtf1 x\\par}")), ("b", bytearray(b"PK")), ("c", bytearray(b"{\\rtf1 open"))], "path string, content binary")
+    assert sorted((r.path, r.text or "", r.error or "") for r in S.read_blocks(files, S.rtf_blocks).collect()) == [("a", "x", ""), ("b", "", "not rich text"), ("c", "open", "")]
