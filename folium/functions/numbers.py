@@ -42,7 +42,7 @@ def bare(x: str, d: Spark = SPARK) -> str:
     inner = d.replace(inner, rf"^[+-]? ?(?:{BEFORE}(?:- ?)?)?", "")
     inner = d.replace(inner, rf"(?: ?{_any(AFTER)}| ?%)$", "")
     inner = d.replace(inner, r"^[(](.*)[)]$", "$1")
-    return d.replace(inner, r"([.,][0-9]+)-$", "$1")
+    return f"CASE WHEN {d.matches(x, '^[0-9.,]*$')} THEN {x} ELSE {d.replace(inner, r'([.,][0-9]+)-$', '$1')} END"
 
 
 #: Ways of writing digits: the mark between groups, sizes of groups, the decimal mark that may follow, and the decimal mark that it proves, if any.

@@ -86,14 +86,17 @@ def language_vote(docs: DataFrame, doc: str, text: str) -> DataFrame:
 
     Counted on the row with patterns, so no words move; the tables of words are literals.
     """
-    low = F.lower(F.col(text))
+    every = sorted({w for words in FUNCTION_WORDS.values() for w in words})
+    found = F.regexp_extract_all("low", F.lit(r"(?:^|[\s.,])(" + "|".join(every) + r")(?=[\s.,]|\z)"), F.lit(1))
+    marked = F.regexp_extract_all("low", F.lit("([" + "".join(MARKER_LETTERS.values()) + "])"), F.lit(1))
+    texts = docs.select(doc, F.lower(text).alias("low")).select(doc, found.alias("found"), marked.alias("marked"))  # a text is searched once for all languages
     points = []
     for i, (code, words) in enumerate(FUNCTION_WORDS.items()):
-        hits = F.regexp_count(F.concat(F.lit(" "), F.regexp_replace(low, r"[\s.,]+", "  "), F.lit(" ")), F.lit(" (?:" + "|".join(words) + ") "))
-        marks = F.regexp_count(low, F.lit(f"[{MARKER_LETTERS[code]}]")) if MARKER_LETTERS[code] else F.lit(0)
+        hits = F.size(F.filter("found", lambda w: w.isin(words)))
+        marks = F.size(F.filter("marked", lambda c: c.isin(list(MARKER_LETTERS[code])))) if MARKER_LETTERS[code] else F.lit(0)
         points.append(F.struct((hits * 2 + marks).alias("points"), F.lit(-i).alias("order"), F.lit(code).alias("code")))
-    best = F.greatest(*points)
-    return docs.select(doc, F.when(best["points"] >= 4, best["code"]).alias("language"), best["points"].cast("long").alias("points"))
+    best = texts.select(doc, F.when(F.col("found").isNotNull(), F.greatest(*points)).alias("best"))
+    return best.select(doc, F.when(F.col("best.points") >= 4, F.col("best.code")).alias("language"), F.col("best.points").cast("long").alias("points"))
 
 
 def right_to_left(text: Column) -> Column:

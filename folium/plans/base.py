@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.session import table
+from folium.session import short_methods, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ class Catalogue:
 
         def wrap(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+                short_methods(spark)
                 return f(*[table(spark, sf_dir, n) for n in names])
 
             self.queries[f.__name__] = run

@@ -11,7 +11,7 @@ from folium.functions import numbers as N
 from folium.functions import text as X
 from folium.functions.dialect import DUCK, SPARK, Spark
 from folium.plans.base import Catalogue
-from folium.session import table
+from folium.session import short_methods, table
 
 catalogue = Catalogue()
 Steps = Callable[[Spark], list[dict[str, str]]]
@@ -21,6 +21,7 @@ def dual(name: str, source: str, steps: Steps, where: str = "") -> None:
     """A query of select lists over each other: every step may use the columns of the one before."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        short_methods(spark)
         df = table(spark, sf_dir, source)
         for step in steps(SPARK):
             df = df.selectExpr(*[f"{e} AS {c}" for c, e in step.items()])
