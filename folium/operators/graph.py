@@ -30,6 +30,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         labels = found
 
 
+def inherited(nodes: DataFrame, node: str, base: str, value: str) -> DataFrame:
+    """(node, value): a node's own value, else that of the nearest base with one, null without any; the greatest where a node has several rows.
+
+    Every round replaces the base of a row without value by what the base's rows say by then, so the way to go halves.
+    Rows that are open after as many rounds as the longest way takes go round in circles, which give no value.
+    """
+    rows = nodes.select(F.col(node).alias("node"), F.col(base).alias("base"), F.col(value).alias("value"))
+    state = cut(rows.where("value IS NOT NULL OR base IS NOT NULL").withColumn("base", F.when(F.col("value").isNull(), F.col("base"))).distinct())
+    for _ in range(state.count().bit_length() + 1):
+        if state.where("base IS NOT NULL").isEmpty():
+            break
+        of = state.where("node IS NOT NULL").select(F.col("node").alias("of"), F.col("base").alias("next"), F.col("value").alias("found"))
+        step = state.where("base IS NOT NULL").join(of, F.col("base") == F.col("of")).select("node", F.col("next").alias("base"), F.col("found").alias("value"))
+        found = cut(state.where("base IS NULL").unionByName(step).distinct())
+        forget(state)
+        state = found
+    values = state.select("node", "value").unionByName(rows.select("node", "value"))
+    return values.groupBy("node").agg(F.max("value").alias("value")).select(F.col("node").alias(node), F.col("value").alias(value))
+
+
 def structural_classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, class): the coarsest classes in which equal nodes have equal signatures and, edge by edge, targets of equal classes.
 

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 from folium import plans
+from folium.operators import graph
 from folium.plans import documents as D
 from folium.plans import more as M
 from folium.sources import files
@@ -51,6 +52,29 @@ def test_all_boxes_are_looked_up(spark):
     assert {tuple(r) for r in got.collect()} == want and any(i % 25 for *_, i in want)
 
 
+def test_styles_beyond_the_limit_of_recursion(spark):
+    sizes = {i: (i * 7 + 1) % 50 + 1 for i in range(400) if i % 11}
+    parts = spark.createDataFrame([(i, z) for i, z in sizes.items()] + [(400, None), (401, 9), (401, 12), (2005, 4), (2006, 4)], "p_partkey long, p_size int")
+
+    def size(i):
+        z = sizes.get(i)
+        return z if z is None or z % 3 == 0 else None if i % 5 == 0 else size(i // 5)
+
+    was = spark.conf.get("spark.sql.cteRecursionRowLimit")
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "300")
+    try:
+        got = {r.id: r["size"] for r in D.style_inheritance(parts).collect()}
+    finally:
+        spark.conf.set("spark.sql.cteRecursionRowLimit", was)
+    assert got == {i: size(i) for i in sizes} | {400: None, 401: 12, 2005: None, 2006: 12}
+
+
+def test_long_chains_and_circles_of_bases(spark):
+    rows = [(i, i - 1, 7 if i == 0 else None) for i in range(300)] + [(1000, 1001, None), (1001, 1000, None), (1002, 1001, None), (1003, 5000, None), (1004, 1000, 3)]
+    got = {r.id: r.size for r in graph.inherited(spark.createDataFrame(rows, "id long, base long, size int"), "id", "base", "size").collect()}
+    assert got == {i: 7 for i in range(300)} | {1000: None, 1001: None, 1002: None, 1003: None, 1004: 3}
+
+
 def test_tables_of_many_cells():
     page = "<table>" + "".join(f"<tr><td rowspan=2>{r}</td>" + "<td>x</td>" * 5 + "</tr>" for r in range(20_010)) + "</table>"
     cells = list(files.html_tables(page))
