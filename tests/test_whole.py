@@ -37,6 +37,23 @@ def test_components_of_all_orders(spark):
     assert {r.node: r.root for r in D.components(orders).collect()} == roots([(a, -b) for a, b in rows])
 
 
+def test_components_in_few_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(graph, "cut", lambda df, made=graph.cut: tables.append(1) or made(df))
+    rnd = random.Random(3)
+    chain = [(i, i + 1) for i in range(300)]
+    mixed = rnd.sample(range(1000, 1600), 600)
+    rows = chain + list(zip(mixed, mixed[1:])) + [(5000, i) for i in range(2000, 2300)] + [(7000, 7000), (None, 1), (8000, None)]
+    for kind in ("long", "string"):
+        edges = spark.createDataFrame([tuple(x if x is None else x if kind == "long" else f"n{x:05}" for x in r) for r in rows], f"src {kind}, dst {kind}")
+        want = roots([tuple(r) for r in map(tuple, edges.collect()) if None not in r])
+        assert {r.node: r.root for r in graph.connected_components(edges).collect()} == want and len(tables) <= 2
+        tables.clear()
+        assert {r.node: r.root for r in graph.connected_components(edges, small=40).collect()} == want
+        tables.clear()
+    assert graph.connected_components(edges.where("false")).count() == 0
+
+
 def test_all_boxes_are_looked_up(spark):
     rnd = random.Random(2)
     part = [(i, rnd.randint(1, 50)) for i in range(1, 400)]
