@@ -31,7 +31,7 @@ dual("active_content", "pages", lambda d: [{"page_id": "page_id", "part": "CASE
   SELECT l_orderkey, l_linenumber, l_partkey, box_id FROM h WHERE r = 1""", "part", "lineitem")
 def merged_ranges(part: DataFrame, lineitem: DataFrame) -> DataFrame:
     b = part.selectExpr("p_partkey AS box_id", "p_partkey % 10 AS page", "p_size * 100.0D AS left", "p_size * 100.0D + 150 AS right", "1.0D AS top", "1.0D + p_size % 5 AS bottom")
-    p = lineitem.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey % 10 AS page", "cast(floor(l_extendedprice / 20) AS DOUBLE) AS x", "cast(l_linenumber AS DOUBLE) AS y").distinct()
+    p = lineitem.selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey % 10 AS page", "cast(floor(l_extendedprice / 20) AS DOUBLE) AS x", "cast(l_linenumber AS DOUBLE) AS y")
     return G.in_boxes(p, b, "page", 500.0, ["l_orderkey", "l_linenumber", "l_partkey", "page", "x", "y"]).where("box_id IS NOT NULL").select("l_orderkey", "l_linenumber", "l_partkey", "box_id")
 
 

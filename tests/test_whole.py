@@ -3,7 +3,10 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from folium import plans
+from folium.operators import geometry as G
 from folium.operators import graph
 from folium.plans import documents as D
 from folium.plans import more as M
@@ -69,6 +72,31 @@ def test_all_boxes_are_looked_up(spark):
     assert {tuple(r) for r in got.collect()} == want and any(i % 25 for *_, i in want)
 
 
+def test_copies_of_boxes_are_compared_once(spark):
+    rnd = random.Random(4)
+    kinds = [(rnd.randint(0, 2), x := rnd.randint(-60, 200) / 2, x + rnd.randint(-1, 60) / 2, y := rnd.randint(-20, 80) / 2, y + rnd.randint(0, 30) / 2) for _ in range(120)]
+    kinds += [(1, -500.0, 500.0, -300.0, 300.0), (1, 7.0, 7.0, 3.0, 3.0), (None, 0.0, 9.0, 0.0, 9.0)]
+    ids = rnd.sample(range(10_000, 20_000), 60 * len(kinds))
+    boxes = [(i, *kinds[n % len(kinds)]) for n, i in enumerate(ids)]
+    points = [(n, rnd.choice([0, 1, 2, 3, None]), rnd.randint(-80, 260) / 2, rnd.randint(-30, 110) / 2) for n in range(500)] + [(-1, 1, 7.0, 3.0), (None, 1, 7.0, 3.0), (-2, 0, None, 3.0)]
+
+    def least(page, x, y):
+        if page is None or x is None:
+            return None
+        return min((((r - l) * (b - t), i) for i, p, l, r, t, b in boxes if p == page and l <= x <= r and t <= y <= b), default=(0, None))[1]
+
+    given = spark.createDataFrame(points + points[:50], "id long, page int, x double, y double")
+    laid = spark.createDataFrame(boxes, "box_id long, page int, left double, right double, top double, bottom double")
+    want = sorted(((*p, least(*p[1:])) for p in points), key=repr)
+    for cell in (3.0, 50.0, 10_000.0):
+        assert sorted(map(tuple, G.in_boxes(given, laid, "page", cell, ["id", "page", "x", "y"]).collect()), key=repr) == want
+    named = given.distinct().where("id is not null").withColumn("text", F.lit("t"))
+    got = G.in_boxes(named, laid, "page", 50.0, ["page", "id"]).select("id", "page", "x", "y", "box_id").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == [p for p in want if p[0] is not None]
+    assert {r.box_id for r in G.in_boxes(given, laid.where("false"), "page", 50.0, ["id", "page", "x", "y"]).collect()} == {None}
+    assert {r.box_id for r in G.in_boxes(given, laid.where("left = right"), "page", 50.0, ["id", "page", "x", "y"]).collect()} > {None}
+
+
 def test_styles_beyond_the_limit_of_recursion(spark):
     sizes = {i: (i * 7 + 1) % 50 + 1 for i in range(400) if i % 11}
     parts = spark.createDataFrame([(i, z) for i, z in sizes.items()] + [(400, None), (401, 9), (401, 12), (2005, 4), (2006, 4)], "p_partkey long, p_size int")
